@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("parsing",)
+AREAS = ("parsing", "windows")
 
 
 def load() -> None:

@@ -310,12 +310,14 @@ def _parse(df: DataFrame, formats: tuple[LineFormat, ...], now: Column, year: Co
         "extra": extra,
     }
     passed = [f"`{c}`" for c in df.columns if c not in PARSED.fieldNames() and c != "parse_status"]
-    columns = [
-        f"cast({values.get(f.name, 'NULL')} AS {f.dataType.simpleString()}) AS `{f.name}`"
-        for f in PARSED.fields
-    ]
     ready = with_once(with_once(stamped, fields), lowered)
-    return ready.selectExpr(*passed, "parse_status", *columns)
+    typed = {
+        f.name: f"cast({values.get(f.name, 'NULL')} AS {f.dataType.simpleString()})"
+        for f in PARSED.fields
+    }
+    return with_once(ready, typed).selectExpr(
+        *passed, "parse_status", *[f"`{f.name}`" for f in PARSED.fields]
+    )
 
 
 def _now(ingest_ts: Column | None) -> Column:
