@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("parsing", "windows")
+AREAS = ("parsing", "windows", "ingest")
 
 
 def load() -> None:
