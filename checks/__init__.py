@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("parsing", "windows", "ingest")
+AREAS = ("parsing", "windows", "ingest", "history")
 
 
 def load() -> None:

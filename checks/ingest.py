@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.parsed_sql import parsed
+from checks.parsing import now
 from checks.registry import GEO_RANGES, LINES, MIXED, RFC5424_LINES, query
 from checks.windows import EV, parsed_lines
 from logvane.functions import scalar
 from logvane.operators import features, lookup, parsing
 from logvane.schema import FEATURE_NAMES
 from logvane.sources import derived, ingest
-from checks.parsing import now
 
 
 @query(
@@ -160,11 +160,11 @@ def geo_distance(spark, sf):
     return lookup.with_distance(found, lookup.usual_places(found)).select("line_id", km)
 
 
-HIGH_RISK_IPS = "SELECT DISTINCT '10.0.' || CAST(user_id % 2 AS VARCHAR) || '.' || CAST(user_id % 8 AS VARCHAR) AS source_ip FROM events WHERE event_type = 'purchase' AND value >= 120"
+HIGH_RISK_IPS = "SELECT DISTINCT '10.0.' || CAST(user_id % 2 AS VARCHAR) || '.' || CAST(user_id % 8 AS VARCHAR) AS source_ip FROM events WHERE user_id < 3"
 
 
 def risky_ips(spark, sf):
-    bought = derived.read_table(spark, sf, "events").filter("event_type = 'purchase' AND value >= 120")
+    bought = derived.read_table(spark, sf, "events").filter("user_id < 3")
     return bought.select(F.expr("'10.0.' || cast(user_id % 2 as string) || '.' || cast(user_id % 8 as string)").alias("source_ip"))
 
 
