@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-AREAS = ("parsing", "windows", "ingest", "history")
+AREAS = ("parsing", "windows", "ingest", "history", "models", "streams")
 
 
 def load() -> None:

@@ -57,8 +57,9 @@ def even_buckets(df: DataFrame, column: str, pieces: int = 256) -> DataFrame:
     bounds = df.select(
         F.expr(f"percentile_approx(cast({column} AS double), array({steps}), 10000)")
     ).scalar()
-    below = F.filter(bounds, lambda b: b < F.col(column).cast("double"))
-    return df.withColumn("_bucket", F.coalesce(F.size(below), F.lit(0)))
+    below = F.filter("_bounds", lambda b: b < F.col(column).cast("double"))
+    placed = df.withColumn("_bounds", bounds)
+    return placed.withColumn("_bucket", F.size(below)).drop("_bounds")
 
 
 def top_per_group(
