@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import sys
 import time
 
 from checks import load
@@ -58,6 +59,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     lines = spark.read.parquet(f"{SF_DIR}/events.parquet").count() * 1.158
     print(
         json.dumps(

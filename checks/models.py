@@ -155,7 +155,7 @@ CELLS = f"SELECT {ITEM}, unnest([{', '.join(NAMES)}]) AS v, unnest([0, 1, 2, 3])
 
 
 def items(spark, sf):
-    table = derived.read_table(spark, sf, "lineitem")
+    table = derived.spread(derived.read_table(spark, sf, "lineitem"))
     return table.withColumns({"features": F.array(*NAMES), "id": F.col("l_orderkey") * 8 + F.col("l_linenumber")})
 
 

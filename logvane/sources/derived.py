@@ -126,6 +126,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows of a table that is one small file, over all cores."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(read_table(spark, sf_dir, "events"))
+
+
 def _from_events(text: str):
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.sql(text, events=read_table(spark, sf_dir, "events"))
@@ -135,7 +144,7 @@ def _from_events(text: str):
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`line_id, source, log_line`: auth, nginx and firewall lines with bursts."""
-    events = read_table(spark, sf_dir, "events")
+    events = _events(spark, sf_dir)
     copies = F.when(F.expr(BURST), F.array(*[F.lit(i) for i in range(5)])).otherwise(
         F.array(F.lit(0))
     )
@@ -144,13 +153,13 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all formats, with broken ones and a foreign source."""
-    events = read_table(spark, sf_dir, "events")
+    events = _events(spark, sf_dir)
     return spark.sql(MIXED, events=events).select("line_id", "source", "log_line")
 
 
 def mixed_with_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same lines, every one with a metadata map."""
-    events = read_table(spark, sf_dir, "events")
+    events = _events(spark, sf_dir)
     rows = spark.sql(MIXED, events=events)
     user = F.concat(F.lit("meta"), F.col("user_id").cast("string"))
     code = F.when(F.col("event_id") % 3 == 0, F.lit("418")).otherwise(F.lit("not a number"))
