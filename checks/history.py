@@ -59,7 +59,7 @@ def upsert_review(spark, sf):
 
 @query("training_pull", f"SELECT id, risk_score FROM {A} WHERE created_at >= {AS_OF} - INTERVAL 720 HOUR AND risk_score <= 0.6 ORDER BY created_at DESC, id DESC LIMIT 50000")
 def training_pull(spark, sf):
-    return history.training_pull(derived.anomalies(spark, sf), as_of()).select("id", "risk_score")
+    return history.training_pull(derived.anomalies(spark, sf), as_of(), min_samples=100).select("id", "risk_score")
 
 
 @query("stats_counts", f"SELECT count(*) AS anomalies FROM {A} WHERE created_at >= {AS_OF} - INTERVAL 240 HOUR AND risk_score >= 0.7")

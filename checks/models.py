@@ -353,7 +353,15 @@ def trained(spark, sf):
     key = (spark.sparkContext.applicationId, sf)
     if key not in _models:
         _models[key] = training.retrain(
-            stage(stored_features(spark, sf)), as_of(), "v1", trees=100, components=3, restarts=1, contamination=0.03, min_samples=20
+            stage(stored_features(spark, sf)),
+            as_of(),
+            "v1",
+            trees=100,
+            components=3,
+            min_rows=100,
+            restarts=1,
+            contamination=0.03,
+            min_samples=20,
         )
     return _models[key]
 

@@ -131,10 +131,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(read_table(spark, sf_dir, "events"))
-
-
 def _from_events(text: str):
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.sql(text, events=read_table(spark, sf_dir, "events"))
@@ -144,22 +140,22 @@ def _from_events(text: str):
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """`line_id, source, log_line`: auth, nginx and firewall lines with bursts."""
-    events = _events(spark, sf_dir)
+    events = read_table(spark, sf_dir, "events")
     copies = F.when(F.expr(BURST), F.array(*[F.lit(i) for i in range(5)])).otherwise(
         F.array(F.lit(0))
     )
-    return spark.sql(LINES, expanded=events.withColumn("k", F.explode(copies)))
+    return spread(spark.sql(LINES, expanded=events.withColumn("k", F.explode(copies))))
 
 
 def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of all formats, with broken ones and a foreign source."""
-    events = _events(spark, sf_dir)
-    return spark.sql(MIXED, events=events).select("line_id", "source", "log_line")
+    events = read_table(spark, sf_dir, "events")
+    return spread(spark.sql(MIXED, events=events).select("line_id", "source", "log_line"))
 
 
 def mixed_with_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same lines, every one with a metadata map."""
-    events = _events(spark, sf_dir)
+    events = read_table(spark, sf_dir, "events")
     rows = spark.sql(MIXED, events=events)
     user = F.concat(F.lit("meta"), F.col("user_id").cast("string"))
     code = F.when(F.col("event_id") % 3 == 0, F.lit("418")).otherwise(F.lit("not a number"))
