@@ -151,7 +151,7 @@ def value_hour(spark, sf, cap=False):
 
 NAMES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 ITEM = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
-CELLS = f"SELECT {ITEM}, unnest([{', '.join(NAMES)}]) AS v, unnest([0, 1, 2, 3]) AS i, unnest([{', '.join(repr(n) for n in NAMES)}]) AS name FROM lineitem"
+CELLS = f"SELECT k, {ITEM}, unnest([{', '.join(NAMES)}]) AS v, unnest([0, 1, 2, 3]) AS i, unnest([{', '.join(repr(n) for n in NAMES)}]) AS name FROM (SELECT *, row_number() OVER () AS k FROM lineitem)"
 
 
 def items(spark, sf):
@@ -165,7 +165,7 @@ def names_of(top):
 
 @query(
     "importance_row",
-    f"""SELECT {ITEM}, string_agg(name, ',' ORDER BY round(dev, 9) DESC, i DESC) AS important FROM (SELECT *, abs(v - avg(v) OVER w) / (stddev_pop(v) OVER w + 1e-10) AS dev FROM (SELECT *, row_number() OVER () // 4 AS k FROM ({CELLS})) WINDOW w AS (PARTITION BY {ITEM})) GROUP BY {ITEM}""",
+    f"""SELECT {ITEM}, string_agg(name, ',' ORDER BY round(dev, 9) DESC, i DESC) AS important FROM (SELECT *, abs(v - avg(v) OVER w) / (stddev_pop(v) OVER w + 1e-10) AS dev FROM ({CELLS}) WINDOW w AS (PARTITION BY k)) GROUP BY k, {ITEM}""",
 )
 def importance_row(spark, sf):
     deviations = F.transform(explain.own_deviation(F.col("features")), lambda x: F.round(x, 9))
@@ -181,7 +181,7 @@ def item_deviations(spark, sf):
     return rows.withColumn("deviations", F.transform(z, lambda x: F.round(x, 9)))
 
 
-@query("importance_scaled", f"SELECT {ITEM}, string_agg(name, ',' ORDER BY round(dev, 9) DESC, i DESC) AS important FROM ({SCALED_CELLS}) GROUP BY {ITEM}")
+@query("importance_scaled", f"SELECT {ITEM}, string_agg(name, ',' ORDER BY round(dev, 9) DESC, i DESC) AS important FROM ({SCALED_CELLS}) GROUP BY k, {ITEM}")
 def importance_scaled(spark, sf):
     top = explain.top_features(F.col("deviations"), NAMES)
     return item_deviations(spark, sf).select(*ITEM.split(", "), names_of(top).alias("important"))
