@@ -346,7 +346,11 @@ def parse_logs(
     """
     now = _now(ingest_ts)
     the_year = F.year(now) if year is None else year
-    own = df.filter(~F.col("source").isin(*_custom_parsers)) if _custom_parsers else df
+    own = df
+    if _custom_parsers:
+        # a null source is nobody's, and stays with the known formats
+        foreign = F.coalesce(F.col("source").isin(*_custom_parsers), F.lit(False))
+        own = df.filter(~foreign)
     parsed = _parse(own, FORMATS, now, the_year)
     for source, parser in _custom_parsers.items():
         extra = parser(df.filter(F.col("source") == source))

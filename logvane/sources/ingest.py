@@ -29,9 +29,7 @@ def source_of_path(path: str) -> Column:
 
 
 def _with_source(lines: DataFrame) -> DataFrame:
-    named = lines.withColumns(
-        {"_path": F.col("_metadata.file_path"), "_at": F.col("_metadata.file_block_start")}
-    )
+    named = lines.withColumn("_path", F.col("_metadata.file_path"))
     return named.select(
         F.col("value").alias("log_line"),
         source_of_path("_path").alias("source"),
