@@ -9,6 +9,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: The characters between words: space and U+0009 to U+000D. `bytes.split()` cuts at the same six.
 SPACES = " \t\n\x0b\x0c\r"
@@ -86,7 +88,7 @@ def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
 def arrow_map(
     df: DataFrame,
     work: Callable[[dict[str, list]], Iterable[dict]],
-    schema: str,
+    schema: str | StructType,
     chunk_bytes: int = 8 << 20,
     text: str = "text",
 ) -> DataFrame:
@@ -94,10 +96,7 @@ def arrow_map(
 
     A task holds one chunk at a time. `work` yields dicts of equally long columns.
     """
-    from pyspark.sql.types import StructType
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    arrow = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
