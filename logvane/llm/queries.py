@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logvane.llm import bpe, pseudonyms, quality, substring, wavelet
+from logvane.llm import bpe, decontam, lm, pseudonyms, quality, substring, wavelet
 from logvane.llm.common import table
 from logvane.session import stage
 
@@ -20,6 +20,17 @@ def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_lm_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = lm.fit(docs.where(~lm.held_out(F.col("doc_id"))))
+    scored = lm.score(docs, model)
+    return scored.select("doc_id", lm.held_out(F.col("doc_id")).alias("held_out"), *scored.columns[1:])
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return coded.select(
@@ -50,6 +61,8 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
+    "op4_lm_bloom": op4_lm_bloom,
+    "op6_decontamination": op6_decontamination,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
