@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logvane.llm import bpe, decontam, lm, pseudonyms, quality, substring, wavelet
+from logvane.llm import bpe, decontam, jaccard, lm, pseudonyms, quality, substring, wavelet
 from logvane.llm.common import table
 from logvane.session import stage
 
@@ -20,6 +20,11 @@ def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard.classes(docs).select("doc_id", "class_id", "n_links")
+
+
 def op4_lm_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = lm.fit(docs.where(~lm.held_out(F.col("doc_id"))))
@@ -61,6 +66,7 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_lm_bloom": op4_lm_bloom,
     "op6_decontamination": op6_decontamination,
     "op7_byte_bpe": op7_byte_bpe,
