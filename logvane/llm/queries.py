@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logvane.llm import bpe, decontam, jaccard, lm, pseudonyms, quality, substring, wavelet
+from logvane.llm import bpe, decontam, jaccard, langid, lm, pseudonyms, quality, substring, urls, wavelet
 from logvane.llm.common import table
 from logvane.session import stage
 
@@ -20,6 +20,13 @@ def op1_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(~langid.held_out(F.col("doc_id"))))
+    told = langid.predict(docs, model)
+    return told.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), *told.columns[1:])
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return jaccard.classes(docs).select("doc_id", "class_id", "n_links")
@@ -32,6 +39,10 @@ def op4_lm_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", lm.held_out(F.col("doc_id")).alias("held_out"), *scored.columns[1:])
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -66,8 +77,10 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
+    "op2_language_id": op2_language_id,
     "op3_jaccard_join": op3_jaccard_join,
     "op4_lm_bloom": op4_lm_bloom,
+    "op5_url_filter": op5_url_filter,
     "op6_decontamination": op6_decontamination,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_substring_dedup": op8_substring_dedup,
