@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from logvane.llm import bpe, decontam, jaccard, langid, lm, pseudonyms, quality, substring, urls, wavelet
 from logvane.llm.common import table
+from logvane.llm.sql import SQL
 from logvane.session import stage
 
 
@@ -75,6 +76,8 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changed.select("row.doc_id", "text", F.size("found").cast("long").alias("n_found"), "found")
 
 
+__all__ = ["QUERIES", "SQL"]
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wavelet_tokens": op1_wavelet_tokens,
     "op2_language_id": op2_language_id,
@@ -87,4 +90,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_pii_pseudonyms": op10_pii_pseudonyms,
 }
-SQL: dict[str, str] = {}
