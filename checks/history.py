@@ -57,7 +57,7 @@ def upsert_review(spark, sf):
     return history.apply_updates(derived.anomalies(spark, sf), reviews).select("id", "risk_level", "risk_score", "reviewed")
 
 
-@query("training_pull", f"SELECT id, risk_score FROM {A} WHERE created_at >= {AS_OF} - INTERVAL 720 HOUR AND risk_score <= 0.6 ORDER BY created_at DESC, id DESC LIMIT 50000")
+@query("training_pull", f"SELECT id, risk_score FROM {A} WHERE created_at >= {AS_OF} - INTERVAL 720 HOUR AND risk_score <= 0.6")
 def training_pull(spark, sf):
     return history.training_pull(derived.anomalies(spark, sf), as_of(), min_samples=100).select("id", "risk_score")
 
@@ -194,18 +194,27 @@ def anomaly_feedback(spark, sf):
     return found.select("id", "risk_score", "feedback_id", "is_false_positive")
 
 
-@query("feedback_quality", f"SELECT a.event_type, count(*) AS judged, count_if(f.is_false_positive)::BIGINT AS false_positives, round(1 - count_if(f.is_false_positive) / count(*), 9) AS precision FROM {A} a JOIN {FB} f ON f.anomaly_id = a.id GROUP BY 1")
+@query("feedback_quality", f"SELECT a.event_type, count(*) AS judged, count_if(f.is_false_positive)::BIGINT AS false_positives, 0::BIGINT AS false_negatives, round(1 - count_if(f.is_false_positive) / count(*), 9) AS precision FROM {A} a JOIN {FB} f ON f.anomaly_id = a.id GROUP BY 1")
 def feedback_quality(spark, sf):
     found = feedback.feedback_quality(derived.anomalies(spark, sf), derived.feedback(spark, sf), "event_type")
     return found.withColumn("precision", F.round("precision", 9))
 
 
-@query("retrain_trigger", f"SELECT count_if(created_at > TIMESTAMP '2024-01-30 12:00:00')::BIGINT AS new_feedback, (count_if(created_at > TIMESTAMP '2024-01-30 12:00:00') >= 100) AS due FROM {FB}")
+RETRAIN = "SELECT count(*) FILTER (created_at > TIMESTAMP '{0}') AS new_feedback, count(*) FILTER (created_at > TIMESTAMP '{0}') >= 100 OR {1} >= TIMESTAMP '{0}' + INTERVAL 24 HOUR AS due FROM {2}"
+
+
+@query("retrain_trigger", RETRAIN.format("2024-01-30 12:00:00", AS_OF, f"(SELECT * FROM {FB} WHERE created_at <= {AS_OF})"))
 def retrain_trigger(spark, sf):
     trained = F.lit("2024-01-30 12:00:00").cast("timestamp_ntz")
     return feedback.retrain_due(derived.feedback(spark, sf), trained, as_of())
 
 
+@query("retrain_trigger_by_age", RETRAIN.format("2024-01-20 00:00:00", AS_OF, f"(SELECT * FROM {FB} WHERE id < 0)"))
+def retrain_trigger_by_age(spark, sf):
+    none = derived.feedback(spark, sf).filter("id < 0")
+    return feedback.retrain_due(none, F.lit("2024-01-20 00:00:00").cast("timestamp_ntz"), as_of())
+
+
 @query("related_logs", f"""WITH a AS (SELECT id, source_ip, username, CAST(floor(epoch(created_at)) AS BIGINT) AS s FROM {A} WHERE is_anomaly), l AS (SELECT id, source_ip, username, CAST(floor(epoch(created_at)) AS BIGINT) AS s FROM ({LOGS}))
  SELECT a.id, count(*) AS related_logs FROM a JOIN l ON l.s BETWEEN a.s - 300 AND a.s + 300 AND (a.source_ip = l.source_ip OR a.username = l.username) GROUP BY a.id""")
 def related_logs(spark, sf):
@@ -233,6 +242,18 @@ def user_baseline(spark, sf):
     return found.select("event_id", F.coalesce("baseline_n", F.lit(0)).alias("baseline_n"), F.when(F.col("baseline_std") > 1e-4, F.round("deviation", 4)).alias("deviation"))
 
 
+@query("anomalies_with_alerts", f"SELECT a.id, a.risk_score, l.id AS alert_id, l.delivery_status FROM {A} a LEFT JOIN {AL} l ON l.anomaly_id = a.id")
+def anomalies_with_alerts(spark, sf):
+    found = alerting.with_alerts(derived.anomalies(spark, sf), derived.alerts(spark, sf))
+    return found.select("id", "risk_score", "alert_id", "delivery_status")
+
+
+@query("anomalies_filtered_page", f"SELECT id, risk_score FROM {A} WHERE created_at >= {AS_OF} - INTERVAL 240 HOUR AND risk_score >= 0.5 ORDER BY created_at DESC, id DESC LIMIT 20 OFFSET 40")
+def anomalies_filtered_page(spark, sf):
+    found = history.find_anomalies(derived.anomalies(spark, sf), as_of(), 240, 0.5, limit=20, offset=40)
+    return found.select("id", "risk_score")
+
+
 @query("alerts_missing", f"SELECT id, risk_score FROM {A} WHERE risk_score >= 0.8 AND id NOT IN (SELECT anomaly_id FROM {AL})")
 def alerts_missing(spark, sf):
     return alerting.unalerted(derived.anomalies(spark, sf), derived.alerts(spark, sf)).select("id", "risk_score")
@@ -288,7 +309,7 @@ def retention_prune(spark, sf):
     return sinks.within_retention(logs(spark, sf), as_of(), 10, "created_at").select("id")
 
 
-@query("pii_scrub", "SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '<email>', 'g'), '\\b(?:[0-9]{1,3}\\.){3}[0-9]{1,3}\\b', '<ip>', 'g')) AS scrubbed, sha2_key AS pseudonym FROM (SELECT doc_id, text, sha256('salt' || CAST(doc_id AS VARCHAR)) AS sha2_key FROM documents)")
+@query("pii_scrub", "SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '<email>', 'g'), '\\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\\b|\\b[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?', '<ip>', 'g'), '\\b(?:[0-9]{1,3}\\.){3}[0-9]{1,3}\\b', '<ip>', 'g')) AS scrubbed, sha2_key AS pseudonym FROM (SELECT doc_id, text, sha256('salt' || CAST(doc_id AS VARCHAR)) AS sha2_key FROM documents)")
 def pii_scrub(spark, sf):
     docs = derived.read_table(spark, sf, "documents")
     return docs.select("doc_id", F.md5(sinks.mask(F.col("text"))).alias("scrubbed"), sinks.pseudonym(F.col("doc_id"), "salt").alias("pseudonym"))

@@ -150,9 +150,9 @@ def geo_range_join(spark, sf):
 
 @query(
     "geo_distance",
-    f"""WITH l AS ({LOCATED}), c AS (SELECT username, country, lat, lon, count(*) AS n FROM l WHERE lat IS NOT NULL GROUP BY ALL),
+    f"""WITH l AS ({LOCATED}), c AS (SELECT username, country, lat, lon, count(*) AS n FROM l WHERE lat IS NOT NULL AND username <> '' GROUP BY ALL),
  h AS (SELECT username, lat AS hlat, lon AS hlon FROM c QUALIFY row_number() OVER (PARTITION BY username ORDER BY n DESC, country) = 1)
- SELECT line_id, round(coalesce(2 * 6371.0::DOUBLE * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians(lat - hlat) / 2), 2) + cos(radians(hlat)) * cos(radians(lat)) * pow(sin(radians(lon - hlon) / 2), 2)))), 0), 4) AS geographic_distance_km FROM l LEFT JOIN h USING (username)""",
+ SELECT line_id, CASE WHEN lat IS NULL OR hlat IS NULL THEN 0 ELSE round(2 * 6371.0::DOUBLE * asin(least(1.0::DOUBLE, sqrt(pow(sin(radians(lat - hlat) / 2), 2) + cos(radians(hlat)) * cos(radians(lat)) * pow(sin(radians(lon - hlon) / 2), 2)))), 4) END AS geographic_distance_km FROM l LEFT JOIN h USING (username)""",
 )
 def geo_distance(spark, sf):
     found = located(spark, sf)

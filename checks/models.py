@@ -131,22 +131,23 @@ def risk_decision(spark, sf):
 
 
 MIX = gmm.Mixture(np.array([0.5, 0.3, 0.2]), np.array([[20.0, 6.0], [60.0, 12.0], [120.0, 18.0]]), np.array([np.diag([100.0, 9.0]), np.diag([400.0, 16.0]), np.diag([900.0, 25.0])]))
-DENSITY = " + ".join(
-    f"{w} * exp(-0.5 * ((value - {m[0]}) ** 2 / {c[0][0] + gmm.RIDGE} + (h - {m[1]}) ** 2 / {c[1][1] + gmm.RIDGE})) / (2 * pi() * sqrt({c[0][0] + gmm.RIDGE} * {c[1][1] + gmm.RIDGE}))"
+LOG_PARTS = ", ".join(
+    f"ln({w}) - 0.5 * ((value - {m[0]}) ** 2 / {c[0][0] + gmm.RIDGE} + (h - {m[1]}) ** 2 / {c[1][1] + gmm.RIDGE}) - ln(2 * pi() * sqrt({c[0][0] + gmm.RIDGE} * {c[1][1] + gmm.RIDGE}))"
     for w, m, c in zip(MIX.weights, MIX.means, MIX.covariances, strict=True)
 )
+# the far tail has densities below any double, so the parts are added as logarithms
+LOG_DENSITY = "list_max(p) + ln(list_sum(list_transform(p, lambda x: exp(x - list_max(p)))))"
 
 
-@query("gmm_score_diag", f"SELECT event_id AS id, round(1 / (1 + exp(0.5 * (ln({DENSITY}) + 10))), 6) AS score FROM (SELECT event_id, least(value, 300)::DOUBLE AS value, hour(ts)::DOUBLE AS h FROM events)")
+@query("gmm_score_diag", f"SELECT event_id AS id, round(1 / (1 + exp(0.5 * ({LOG_DENSITY} + 10))), 6) AS score FROM (SELECT event_id, [{LOG_PARTS}] AS p FROM (SELECT event_id, value::DOUBLE AS value, hour(ts)::DOUBLE AS h FROM events))")
 def gmm_score_diag(spark, sf):
-    rows = value_hour(spark, sf, cap=True)
+    rows = value_hour(spark, sf)
     scored = gmm.with_log_likelihood(rows, MIX)
     return scored.select("id", F.round(ensemble.mixture_score(F.col("log_likelihood")), 6).alias("score"))
 
 
-def value_hour(spark, sf, cap=False):
-    value = F.least("value", F.lit(300.0)) if cap else F.col("value")
-    return derived.read_table(spark, sf, "events").select(F.col("event_id").alias("id"), F.array(value, F.hour("ts").cast("double")).alias("features"))
+def value_hour(spark, sf):
+    return derived.read_table(spark, sf, "events").select(F.col("event_id").alias("id"), F.array("value", F.hour("ts").cast("double")).alias("features"))
 
 
 NAMES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -187,7 +188,7 @@ def importance_scaled(spark, sf):
     return item_deviations(spark, sf).select(*ITEM.split(", "), names_of(top).alias("important"))
 
 
-@query("global_importance", f"SELECT name AS feature, round(avg(dev), 6) AS importance FROM ({SCALED_CELLS}) GROUP BY name")
+@query("global_importance", f"SELECT name AS feature, round(avg(dev), 6) AS importance, CAST(row_number() OVER (ORDER BY avg(dev) DESC) AS INTEGER) AS rank FROM ({SCALED_CELLS}) GROUP BY name")
 def global_importance(spark, sf):
     found = explain.global_importance(item_deviations(spark, sf), "deviations", NAMES)
     return found.withColumn("importance", F.round("importance", 6))

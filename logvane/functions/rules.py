@@ -56,8 +56,10 @@ def with_once(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Add columns that are computed once per row, however many filters read them.
 
     Catalyst moves a filter below the projection that defines its columns and copies their
-    definitions into it; through several steps of regex work the copies multiply. It does
-    not do so where the projection draws a random number, so each definition draws one and
-    ignores it.
+    definitions into it; through several steps of regex work the copies multiply. It copies
+    nothing through a generator, and this one makes one row of each; filters on the other columns
+    still move below it, down to the scan.
     """
-    return df.withColumns({n: F.expr(f"if(rand(0) + 1 > 0, {e}, NULL)") for n, e in columns.items()})
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in columns]
+    row = F.struct(*[F.expr(e).alias(n) for n, e in columns.items()])
+    return df.select(*kept, F.inline(F.array(row)))

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from logvane.operators.prefix import join_same
+
 STRETCH = 7 * 86_400
 
 
@@ -31,7 +33,9 @@ def cooldown(
     row_id: str = "id",
     wait_sec: int = 300,
 ) -> DataFrame:
-    """The alerts that are sent."""
+    """The alerts that are sent; without a wait, all of them. Alerts without a key are one key."""
+    if wait_sec <= 0:
+        return alerts
     key_fields = [alerts.schema[k] for k in keys]
     numbered = alerts.withColumn("_sec", F.unix_seconds(F.col(ts).cast("timestamp")))
     seconds = numbered.groupBy(*keys, "_sec").agg(F.min(row_id).alias("_first"))
@@ -83,12 +87,12 @@ def cooldown(
         compose, T.StructType([*day, T.StructField("_open_from", T.LongType())])
     )
     sent = (
-        daily.join(opened, [*keys, "_day"])
+        join_same(daily, opened, [*keys, "_day"])
         .groupBy(*keys, "_day")
         .applyInPandas(replay, T.StructType([*key_fields, T.StructField("_sec", T.LongType())]))
     )
-    firsts = seconds.join(sent, [*keys, "_sec"]).select(*keys, "_sec", F.col("_first").alias(row_id))
-    return numbered.join(firsts, [*keys, "_sec", row_id], "left_semi").drop("_sec")
+    firsts = join_same(seconds, sent, [*keys, "_sec"]).select(*keys, "_sec", F.col("_first").alias(row_id))
+    return join_same(numbered, firsts, [*keys, "_sec", row_id], "left_semi").drop("_sec")
 
 
 def batches_cooled(

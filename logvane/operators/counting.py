@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logvane.operators.prefix import running_totals
+from logvane.operators.prefix import join_same, running_totals
 
 
 def _seconds(ts: str) -> Column:
@@ -34,12 +34,18 @@ def around(
     """Add the number of logs with the same keys at most `within_sec` seconds away.
 
     Logs are counted per key and second; both sides meet in stretches of time that overlap
-    by the distance, so a hot key is spread over its stretches and no pairs are made.
+    by the distance, so a hot key is spread over its stretches and no pairs are made. A null
+    in the key matches nothing; such a point stays, with 0.
     """
     width = max(4 * within_sec, 3600)
     second = _seconds(ts)
-    counts = logs.groupBy(*keys, second.alias("_sec")).agg(F.count("*").alias("_n"))
-    asked = points.select(*keys, second.alias("_sec")).distinct().withColumn("_n", F.lit(0))
+    counts = logs.dropna(subset=keys).groupBy(*keys, second.alias("_sec")).agg(F.count("*").alias("_n"))
+    asked = (
+        points.dropna(subset=keys)
+        .select(*keys, second.alias("_sec"))
+        .distinct()
+        .withColumn("_n", F.lit(0))
+    )
     home = F.floor(F.col("_sec") / width)
     low, high = [F.floor((F.col("_sec") + d) / width) for d in (-within_sec, within_sec)]
     spread = counts.withColumn("_part", F.explode(F.array_distinct(F.array(low, home, high))))
@@ -57,7 +63,8 @@ def around(
         .filter(F.col("_asked") & (F.col("_part") == home))
         .select(*keys, "_sec", name)
     )
-    return points.withColumn("_sec", second).join(answered, [*keys, "_sec"]).drop("_sec")
+    found = points.withColumn("_sec", second).join(answered, [*keys, "_sec"], "left").drop("_sec")
+    return found.withColumn(name, F.coalesce(name, F.lit(0)))
 
 
 def related_logs(
@@ -98,24 +105,31 @@ def user_baseline(
     """Add the deviation of each value from its key's previous days, in standard deviations.
 
     The baseline is built from one row per key and day; null without a spread to compare to.
+    Rows without a key are one group. Days are combined as deviations from the key's own mean,
+    so a small spread around a large value keeps its digits.
     """
     day = F.floor(_seconds(ts) / 86400)
     x = F.col(value)
     daily = df.groupBy(key, day.alias("_day")).agg(
-        F.count(x).alias("_n"), F.sum(x).alias("_s"), F.sum(x * x).alias("_q")
+        F.count(x).alias("_n"), F.avg(x).alias("_mean"), F.var_pop(x).alias("_var")
+    )
+    whole = W.partitionBy(key)
+    centre = F.sum(F.col("_mean") * F.col("_n")).over(whole) / F.sum("_n").over(whole)
+    shift = F.col("_mean") - F.col("_centre")
+    moved = daily.withColumn("_centre", centre).withColumns(
+        {"_s": F.col("_n") * shift, "_q": F.col("_n") * (F.col("_var") + shift * shift)}
     )
     before = W.partitionBy(key).orderBy("_day").rangeBetween(-days, -1)
     n, s, q = [F.sum(c).over(before) for c in ("_n", "_s", "_q")]
-    base = daily.select(
+    base = moved.select(
         key,
         "_day",
         n.alias("baseline_n"),
-        (s / n).alias("baseline_mean"),
+        (s / n + F.col("_centre")).alias("baseline_mean"),
         F.sqrt(F.greatest(q / n - F.pow(s / n, 2), F.lit(0.0))).alias("baseline_std"),
     )
     return (
-        df.withColumn("_day", day)
-        .join(base, [key, "_day"])
+        join_same(df.withColumn("_day", day), base, [key, "_day"])
         .drop("_day")
         .withColumn(
             "deviation",

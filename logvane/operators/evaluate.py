@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logvane.operators.prefix import even_buckets, running_totals
+from logvane.operators.prefix import even_buckets, join_same, running_totals
 
 # --- fixed values: shares of the split ---
 SHARES = (("train", 0.6), ("validation", 0.2), ("test", 0.2))
@@ -29,7 +29,7 @@ def stratified_split(
     names, edges = [n for n, _ in SHARES], [0.6, 0.8]
     split = F.when(share < edges[0], names[0]).when(share < edges[1], names[1]).otherwise(names[2])
     return (
-        ranked.join(sizes, label)
+        join_same(ranked, sizes, [label])
         .withColumn("split", split)
         .drop("_hash", "_part", "_one", "_at", "_size")
     )

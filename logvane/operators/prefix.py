@@ -11,8 +11,13 @@ from pyspark.sql import functions as F
 BEFORE = (W.unboundedPreceding, -1)
 
 
-def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [left[n].eqNullSafe(right[n]) for n in names])
+def join_same(left: DataFrame, right: DataFrame, names: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where null equals null, so that rows without a key are kept."""
+    others = [c for c in right.columns if c not in names]
+    keyed = right.select(*[F.col(n).alias(f"_key_{n}") for n in names], *others)
+    equal = [F.col(n).eqNullSafe(F.col(f"_key_{n}")) for n in names]
+    both = left.join(keyed, reduce(lambda a, b: a & b, equal), how)
+    return both.drop(*[f"_key_{n}" for n in names])
 
 
 def running_totals(
@@ -42,7 +47,7 @@ def running_totals(
             for name, column in totals.items()
         }
     )
-    joined = local.join(carried, [*keys, bucket])
+    joined = join_same(local, carried, [*keys, bucket])
     added = {name: F.col(f"_in_{name}") + F.col(f"_carry_{name}") for name in totals}
     helpers = [f"{p}_{name}" for p in ("_in", "_carry") for name in totals]
     return joined.withColumns(added).drop(*helpers)
@@ -66,7 +71,8 @@ def top_per_group(
     df: DataFrame, keys: list[str], order: list[Column], k: int, salts: int = 32
 ) -> DataFrame:
     """The first `k` rows of each key; a hot key is first cut to `k` rows per salt."""
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)))
+    hashed = [f.name for f in df.schema if "map<" not in f.dataType.simpleString()]
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)))
     part = W.partitionBy(*keys, "_salt").orderBy(*order)
     kept = salted.withColumn("_rank", F.row_number().over(part)).filter(F.col("_rank") <= k)
     whole = W.partitionBy(*keys).orderBy(*order)

@@ -26,7 +26,10 @@ def find_anomalies(
     risk_level: str | None = None,
     source_ip: str | None = None,
     is_anomaly: bool | None = None,
+    limit: int | None = None,
+    offset: int = 0,
 ) -> DataFrame:
+    """Anomalies that fit; with a limit, the newest of them from `offset` on."""
     found = since(anomalies, as_of, hours)
     if min_risk_score is not None:
         found = found.filter(F.col("risk_score") >= min_risk_score)
@@ -37,7 +40,7 @@ def find_anomalies(
     ):
         if value is not None:
             found = found.filter(F.col(column) == F.lit(value))
-    return found
+    return found if limit is None else _newest(found, limit, offset, "created_at")
 
 
 def page(
@@ -116,20 +119,18 @@ def apply_updates(table: DataFrame, updates: DataFrame, key: str = "id") -> Data
     return joined.select(*kept, *added)
 
 
-TRAINING_ROWS = 50_000
-
-
 def training_pull(
     logs: DataFrame,
     as_of: Column,
     days: int = 30,
     max_risk: float = 0.6,
     min_samples: int = 1000,
+    limit: int | None = None,
 ) -> DataFrame:
-    """The newest 50 000 normal logs of the last days; fails when there are too few."""
+    """All normal logs of the last days, or the newest `limit`; fails when there are too few."""
     normal = since(logs, as_of, days * 24).filter(F.col("risk_score") <= max_risk)
-    newest = _newest(normal, TRAINING_ROWS, 0, "created_at")
-    enough = newest.limit(min_samples).count()
+    pulled = normal if limit is None else _newest(normal, limit, 0, "created_at")
+    enough = pulled.limit(min_samples).count()
     if enough < min_samples:
         raise ValueError(f"not enough training samples: {enough}, need {min_samples}")
-    return newest
+    return pulled

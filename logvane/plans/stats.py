@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from logvane.operators.prefix import running_totals
+from logvane.operators.prefix import join_same, running_totals
 from logvane.plans.history import since
 
 TOP = 10
@@ -26,7 +26,9 @@ def top_counts(df: DataFrame, column: str, k: int = TOP) -> DataFrame:
     return df.groupBy(column).count().orderBy(F.desc("count"), column).limit(k)
 
 
-def anomaly_stats(anomalies: DataFrame, as_of: Column, hours: int = 24) -> DataFrame:
+def anomaly_stats(
+    anomalies: DataFrame, as_of: Column, hours: int = 24, top: int = TOP
+) -> DataFrame:
     """Total, average risk, counts by level, top event types and addresses in one scan."""
     found = since(anomalies, as_of, hours).filter("is_anomaly")
     sets = found.groupingSets(
@@ -48,7 +50,7 @@ def anomaly_stats(anomalies: DataFrame, as_of: Column, hours: int = 24) -> DataF
     best = W.partitionBy("dimension").orderBy(F.desc("anomalies"), "value")
     return (
         named.withColumn("_rank", F.row_number().over(best))
-        .filter(F.col("_rank") <= TOP)
+        .filter(F.col("_rank") <= top)
         .drop("_rank")
     )
 
@@ -150,7 +152,7 @@ def exact_quantiles(
         F.sum("_n").alias("_total"),
     )
     if keys:
-        placed = counts.join(sketch, keys)
+        placed = join_same(counts, sketch, keys)
     else:
         placed = counts.withColumns(
             {"_bounds": sketch.select("_bounds").scalar(), "_total": sketch.select("_total").scalar()}
@@ -176,7 +178,7 @@ def exact_quantiles(
 def above_quantile(df: DataFrame, keys: list[str], value: str, q: float = 0.99) -> DataFrame:
     """Rows above their key's quantile."""
     limits = exact_quantiles(df, keys, value, {"limit": q})
-    return df.join(limits, keys).filter(F.col(value) > F.col("limit"))
+    return join_same(df, limits, keys).filter(F.col(value) > F.col("limit"))
 
 
 def matrix_summary(df: DataFrame, features: str = "features") -> DataFrame:

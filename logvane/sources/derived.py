@@ -45,13 +45,13 @@ MIXED = (
 SELECT event_id AS line_id,
  CASE WHEN event_id % 24 < 6 THEN 'syslog' WHEN event_id % 24 < 15 THEN 'auth' WHEN event_id % 24 < 20 THEN 'nginx' WHEN event_id % 24 < 23 THEN 'firewall' ELSE 'custom' END AS source,
  CASE event_id % 24
- WHEN 0 THEN STAMP || ' app cron[' || cast(user_id as string) || ']: (root) CMD (run-parts /etc/cron.hourly)'
+ WHEN 0 THEN STAMP || ' app cron[' || cast(user_id as string) || ']: (backup) CMD (/opt/jobs/rotate.sh)'
  WHEN 1 THEN STAMP || ' app systemd[1]: Started job ' || cast(user_id as string)
  WHEN 2 THEN STAMP || ' srv sshd[9]: Failed password for user' || cast(user_id as string) || ' from ' || ip || ' port 22 ssh2'
  WHEN 3 THEN '<' || cast(event_id % 192 as string) || '>1 2024-01-' || lpad(cast(day(t) as string),2,'0') || 'T' || HMS || 'Z mail su ' || cast(user_id as string) || ' ID' || cast(event_id % 50 as string) || ' - warning: su root denied for user' || cast(user_id as string)
  WHEN 4 THEN '<34>broken ' || ip
  WHEN 5 THEN 'Feb 30 ' || HMS || ' app kernel: link up ' || ip
- WHEN 6 THEN STAMP || ' server sudo: user' || cast(user_id as string) || ' : command not allowed ; USER=root ; COMMAND=/bin/bash'
+ WHEN 6 THEN STAMP || ' server sudo: user' || cast(user_id as string) || ' : TTY=pts/1 ; PWD=/srv ; USER=root ; COMMAND=/usr/bin/less'
  WHEN 7 THEN STAMP || ' server su: pam_unix(su:session): session opened for user root by user' || cast(user_id as string)
  WHEN 8 THEN STAMP || ' server pam: authentication failure; user=user' || cast(user_id as string) || ' rhost=' || ip
  WHEN 9 THEN STAMP || ' server login[2]: FAILED LOGIN for user' || cast(user_id as string)
@@ -109,7 +109,7 @@ FROM {events} WHERE (event_id * 7919) % 1000 >= 800 AND event_id % 5 <> 0
 
 LABELLED_SCORES = """
 SELECT event_id AS id, CASE WHEN event_type='error' THEN 1 ELSE 0 END AS label,
- cast(floor(least(value,100)) + CASE WHEN event_type='error' THEN 30 ELSE 0 END as double)/130 AS score
+ cast(floor(value) + CASE WHEN event_type='error' THEN 30 ELSE 0 END as double)/(cast(floor(value) as double) + 130) AS score
 FROM {events}
 """
 

@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 # --- fixed values ---
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+IPV6 = (
+    r"\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b"
+    r"|\b[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?"
+)
 IP = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
 RETENTION_DAYS = 90
 
@@ -45,9 +49,9 @@ def within_retention(
 
 
 def mask(text: Column) -> Column:
-    """Free text with e-mail addresses and IP addresses blanked out."""
+    """Free text with e-mail addresses and IP addresses of both kinds blanked out."""
     without_mail = F.regexp_replace(text, EMAIL, "<email>")
-    return F.regexp_replace(without_mail, IP, "<ip>")
+    return F.regexp_replace(F.regexp_replace(without_mail, IPV6, "<ip>"), IP, "<ip>")
 
 
 def pseudonym(value: Column, salt: str) -> Column:
@@ -56,9 +60,20 @@ def pseudonym(value: Column, salt: str) -> Column:
 
 
 def scrub(df: DataFrame, salt: str, names: tuple[str, ...] = ("source_ip", "username")) -> DataFrame:
-    """Pseudonyms in the named columns, masks in the free text."""
-    columns = {n: pseudonym(F.col(n), salt) for n in names if n in df.columns}
-    columns |= {c: mask(F.col(c)) for c in ("raw_log", "message", "payload") if c in df.columns}
+    """Pseudonyms in the named columns, and masks in the free text.
+
+    Where a row's own named values stand in its free text, they are replaced by their pseudonyms.
+    """
+    named = [n for n in names if n in df.columns]
+    columns = {n: pseudonym(F.col(n), salt) for n in named}
+    for c in ("raw_log", "log_line", "message", "payload"):
+        if c in df.columns:
+            text = F.col(c)
+            for n in named:
+                value = F.col(n).cast("string")
+                said = F.coalesce(value, F.lit("")) != ""
+                text = F.when(said, F.replace(text, value, F.substring(columns[n], 1, 16))).otherwise(text)
+            columns[c] = mask(text)
     return df.withColumns(columns)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from logvane.operators import counting, evaluate, prefix
 from logvane.operators.cooldown import cooldown
 from logvane.plans import history, stats
+from logvane.sources import sinks
 
 START = 1_704_067_200
 
@@ -95,3 +96,41 @@ def test_summary_of_nothing(spark):
         "anomalies_detected": 0,
         "anomaly_rate": 0.0,
     }
+
+
+def test_rows_without_a_key_are_kept(spark):
+    rows = [
+        (k, at(START + 400 * k), None if k % 2 else "10.0.0.1", "u" if k % 3 else None, k % 4 / 4)
+        for k in range(12)
+    ]
+    df = spark.createDataFrame(rows, "id long, created_at timestamp, source_ip string, username string, risk_score double")
+    assert counting.similar_before(df, ["source_ip"]).filter("source_ip is null").count() == 6
+    assert counting.related_logs(df, df, 10).count() == 12
+    assert counting.user_baseline(df, "username", "risk_score").count() == 12
+    assert cooldown(df, ["source_ip"], wait_sec=300).count() == 12
+    assert cooldown(df, ["source_ip"], wait_sec=0).count() == 12
+    assert stats.exact_quantiles(df, ["username"], "risk_score", {"p50": 0.5}).count() == 2
+    labelled = df.withColumnRenamed("username", "label")
+    assert evaluate.stratified_split(labelled).count() == 12
+
+
+def test_small_spread_around_a_large_value_keeps_its_digits(spark):
+    rows = [(k, at(START + 86_400 * (k // 4)), "u", 1e9 + k % 2) for k in range(16)]
+    df = spark.createDataFrame(rows, "id long, created_at timestamp, username string, value double")
+    found = counting.user_baseline(df, "username", "value").filter("baseline_n > 0").collect()
+    assert len(found) == 12 and all(abs(r.baseline_std - 0.5) < 1e-6 for r in found)
+
+
+def test_top_of_each_group_with_a_map_column(spark):
+    df = spark.range(20).selectExpr("id", "id % 2 as k", "map('a', id) as extra")
+    assert prefix.top_per_group(df, ["k"], [F.desc("id")], 3).count() == 6
+
+
+def test_scrub_leaves_no_address_user_or_mail(spark):
+    df = spark.createDataFrame(
+        [("10.1.2.3", "petra", "petra from 10.1.2.3 and 2001:db8::7 or fe80:1:2:3:4:5:6:7 wrote a@b.example 12:30:45")],
+        "source_ip string, username string, log_line string",
+    )
+    text = sinks.scrub(df, "salt").first()["log_line"]
+    assert not any(x in text for x in ("petra", "10.1.2.3", "2001:db8", "fe80", "a@b"))
+    assert text.endswith("12:30:45")

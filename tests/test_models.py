@@ -1,5 +1,6 @@
 """Models against brute force and invariants."""
 
+import datetime as dt
 import math
 
 import numpy as np
@@ -103,12 +104,16 @@ def test_train_save_load_score(spark, tmp_path):
     rng = np.random.default_rng(5)
     x = np.vstack([rng.normal(0, 1, (300, 3)), rng.normal(8, 0.3, (6, 3))])
     rows = stage(frame(spark, x))
-    models = ensemble.train(rows, trees=30, eps=1.0, min_samples=10, components=2, restarts=2, version="2024-01")
-    ensemble.save(models, spark, str(tmp_path))
-    older = ensemble.Models(**{**models.__dict__, "version": "2023-01"})
-    ensemble.save(older, spark, str(tmp_path))
+    models = ensemble.train(rows, trees=30, eps=1.0, min_samples=10, components=2, restarts=2, version="v10")
+    ensemble.save(models, spark, str(tmp_path), dt.datetime(2024, 3, 1))
+    older = ensemble.Models(**{**models.__dict__, "version": "v9"})
+    ensemble.save(older, spark, str(tmp_path), dt.datetime(2024, 2, 1))
+    oldest = ensemble.Models(**{**models.__dict__, "version": "001"})
+    ensemble.save(oldest, spark, str(tmp_path), dt.datetime(2024, 1, 1))
+    assert ensemble.load(spark, str(tmp_path), "001").version == "001"
+    assert ensemble.versions(spark, str(tmp_path)).count() == 3
     loaded = ensemble.load(spark, str(tmp_path))
-    assert loaded.version == "2024-01"
+    assert loaded.version == "v10"
     a = {r["id"]: r["risk_score"] for r in ensemble.score(rows, models).collect()}
     b = {r["id"]: r["risk_score"] for r in ensemble.score(rows, loaded).collect()}
     assert a == pytest.approx(b)

@@ -26,7 +26,7 @@ def test_source_is_told_by_the_path(spark, tmp_path):
 
 
 def test_watched_folder(spark, tmp_path):
-    write(tmp_path / "in/auth.log", "Jan 14 10:30:15 s sshd[1]: Accepted password for john from 1.2.3.4 port 5 ssh2\n")
+    write(tmp_path / "in/auth.log", "Jan 22 08:14:09 s sshd[1]: Accepted password for petra from 1.2.3.4 port 5 ssh2\n")
     lines = ingest.watch_lines(spark, str(tmp_path / "in"))
     found = pipeline.parse_stream(lines).select("event_type", "source_ip")
     query = (
