@@ -4,8 +4,9 @@ Two multinomials over `BUCKETS` hash buckets are counted in Spark: one over all
 corpus), one over trusted documents. A text's score is the mean of log(p_trusted / p_raw) over its
 n-grams, and it is kept if the score reaches a fixed threshold. Only DataFrame functions run here.
 
-N-grams are lower-cased words, and pairs of neighbouring word shapes (letters written as `a`, digits
-as `0`, all else as it stands), so that the score sees vocabulary as well as layout and symbols.
+Each word gives two n-grams: itself, and its shape. The shape of a marked word, one that holds more
+than letters and digits, is written with `a` for runs of those and paired with the next marked
+word's; all plain words have one shape. So the score sees vocabulary as well as layout and symbols.
 
 Defined results: null text counts as empty; a text without words has zero counts, score 0 and fails
 the base rules; without trusted documents every score is 0 and the base rules alone decide. Repeated
@@ -33,31 +34,26 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 
-def _bucket(*parts: Column) -> Column:
-    return F.pmod(F.xxhash64(*parts), F.lit(BUCKETS)).cast("int")
+#: A word that holds more than letters and digits.
+_MARKED = r"(?<![^\x20\x09-\x0D])[\p{L}\p{N}]*+[^\p{L}\p{N}\x20\x09-\x0D][^\x20\x09-\x0D]*+"
+#: The bucket of words of letters and digits only.
+_PLAIN = 0
 
 
-def _grams(words: Column, shapes: Column) -> Column:
-    """Buckets of all n-grams of a text."""
-    singles = F.transform(words, lambda w: _bucket(F.lit(1), w))
-    pairs = F.transform(
-        shapes, lambda s, i: _bucket(F.lit(2), s, F.coalesce(F.get(shapes, i + 1), F.lit("")))
-    )
-    return F.concat(singles, pairs)
+def _bucket(*parts: Column) -> Column:
+    return F.xxhash64(*parts).bitwiseAND(BUCKETS - 1).cast("int")
 
 
-def _shape(text: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(text, r"\p{L}+", "a"), r"[0-9]+", "0")
+def _shape_bucket(shape: Column, following: Column) -> Column:
+    return _bucket(shape, F.coalesce(following, F.lit("")))
 
 
-def _split(docs: DataFrame, keep: list[str]) -> DataFrame:
+def _split(docs: DataFrame, keep: list[str], **more: Column) -> DataFrame:
+    """Words, and the shapes of the marked ones."""
     text = whole_text()
-    return computed_once(
-        docs,
-        [*keep, "text"],
-        _words=split_words(F.lower(text)),
-        _shapes=split_words(_shape(text)),
-    )
+    marked = F.regexp_extract_all(text, F.lit(_MARKED), F.lit(0))
+    shapes = F.transform(marked, lambda w: F.regexp_replace(w, r"[\p{L}\p{N}]+", "a"))
+    return computed_once(docs, keep, _words=split_words(text), _shapes=shapes, **more)
 
 
 def weights(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
@@ -71,11 +67,26 @@ def weights(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
         .withColumn("_trusted", F.lit(1))
     )
     marked = docs.select("doc_id", "text").join(F.broadcast(first), "doc_id", "left")
+    shapes, n = F.col("_shapes"), F.size("_words")
+    plain = (n - F.size("_shapes")).cast("long")
+    # a gram is its bucket, and above that how often it counts
+    grams = F.concat(
+        F.transform("_words", lambda w: _bucket(w) + F.lit(BUCKETS).cast("long")),
+        F.transform(
+            shapes,
+            lambda s, i: _shape_bucket(s, F.get(shapes, i + 1)) + F.lit(BUCKETS).cast("long"),
+        ),
+        F.array(plain * BUCKETS + _PLAIN),
+    )
+    times = F.shiftright("gram", BUCKETS.bit_length() - 1)
     counts = (
         _split(marked, ["_trusted"])
-        .select("_trusted", F.explode(_grams(F.col("_words"), F.col("_shapes"))).alias("bucket"))
-        .groupBy("bucket")
-        .agg(F.count("*").alias("raw"), F.count("_trusted").alias("good"))
+        .select("_trusted", F.explode(grams).alias("gram"))
+        .groupBy(F.col("gram").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket"))
+        .agg(
+            F.sum(times).alias("raw"),
+            F.sum(F.when(F.col("_trusted").isNotNull(), times)).alias("good"),
+        )
     )
     filled = (
         docs.sparkSession.range(BUCKETS)
@@ -106,63 +117,93 @@ def weights(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     )
 
 
-def _repeated_words(windows: Column) -> Column:
-    """Words in 3-word windows that stand twice or more in the text.
+#: Low bits of a packed window for its position; a text of more words is beyond a row's 2 GB.
+_PLACE_BITS = 28
+
+
+def _window_places(words: Column, n: Column) -> Column:
+    """Hash bits and position of every 3-word window in one long each, sorted."""
+    starts = F.sequence(F.lit(0), n - 3)
+    packed = F.transform(
+        starts,
+        lambda i: F.shiftleft(
+            F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)), _PLACE_BITS
+        ).bitwiseOR(i.cast("long")),
+    )
+    return F.when(n >= 3, F.sort_array(packed)).otherwise(F.array().cast("array<long>"))
 
-    `windows` holds (hash, position) sorted; equal neighbours mark the repeated positions. Each
-    covers three words, less what the next repeated window covers itself.
-    """
-    repeated = F.filter(
+
+def _same_hash(x: Column, y: Column) -> Column:
+    return F.shiftright(x, _PLACE_BITS) == F.shiftright(y, _PLACE_BITS)
+
+
+def _repeated(windows: Column, words: Column) -> Column:
+    """Positions of windows that stand twice or more: equal hashes first, then equal words."""
+    likely = F.filter(
         windows,
-        lambda x, i: (x["h"] == F.get(windows, i - 1)["h"]) | (x["h"] == F.get(windows, i + 1)["h"]),
+        lambda x, i: _same_hash(x, F.get(windows, i - 1)) | _same_hash(x, F.get(windows, i + 1)),
+    )
+    return F.transform(
+        likely,
+        lambda x: F.struct(
+            F.array_join(
+                F.slice(words, x.bitwiseAND((1 << _PLACE_BITS) - 1).cast("int") + 1, 3), " "
+            ).alias("window"),
+            x.bitwiseAND((1 << _PLACE_BITS) - 1).cast("int").alias("p"),
+        ),
     )
-    return F.sort_array(F.transform(repeated, lambda x: x["p"]))
 
 
 def _judged(docs: DataFrame, trusted_ids: DataFrame, threshold: float) -> DataFrame:
     """The rows of `docs` as struct `_row`, and beside it all that is found out about each."""
     table = weights(docs.select("doc_id", "text"), trusted_ids).scalar()
     text = whole_text()
-    lines = F.filter(F.split(text, "\n", -1), lambda x: F.translate(x, SPACES, "") != "")
-    facts = computed_once(
-        _split(docs.select("text", F.struct("*").alias("_row")), ["_row"]),
-        ["_row", "_words", "_shapes"],
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.btrim(x, F.lit(SPACES)) != "")
+    split = _split(
+        docs.select("text", F.struct("*").alias("_row")),
+        ["_row"],
         _weights=table,
-        _raw_words=split_words(text),
         _lines=lines,
-        word_chars=F.length(F.translate(text, SPACES, "")).cast("long"),
         n_symbols=F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
     )
-    words, n = F.col("_raw_words"), F.size("_raw_words")
-    sums = F.aggregate(
-        _grams(F.col("_words"), F.col("_shapes")),
-        F.lit(0.0),
-        lambda total, b: total + F.get(F.col("_weights"), b),
+    words, shapes, n = F.col("_words"), F.col("_shapes"), F.size("_words")
+    table = F.col("_weights")
+    sums = (
+        F.aggregate(words, F.lit(0.0), lambda total, w: total + F.get(table, _bucket(w)))
+        + F.aggregate(
+            F.transform(shapes, lambda s, i: F.get(table, _shape_bucket(s, F.get(shapes, i + 1)))),
+            F.lit(0.0),
+            lambda total, x: total + x,
+        )
+        + (n - F.size(shapes)) * F.get(table, F.lit(_PLAIN))
     )
-    windows = computed_once(
-        facts,
-        ["_row", "word_chars", "n_symbols"],
+    facts = computed_once(
+        split,
+        ["_row", "_words", "n_symbols"],
         n_words=n.cast("long"),
+        word_chars=F.length(F.array_join(words, "")).cast("long"),
         n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         score=F.when(n > 0, sums / (2 * n)).otherwise(0.0),
-        _windows=F.when(
-            n >= 3,
-            F.array_sort(
-                F.transform(
-                    F.slice(words, 1, F.greatest(n - 2, F.lit(0))),
-                    lambda w, i: F.struct(
-                        F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"),
-                        i.alias("p"),
-                    ),
-                )
-            ),
-        ),
+        _windows=_window_places(words, n),
     )
+    found = ["_row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "score"]
+    likely = computed_once(facts, found, _likely=F.array_sort(_repeated(F.col("_windows"), words)))
+    again = F.col("_likely")
     places = computed_once(
-        windows,
-        ["_row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "score"],
-        _at=F.coalesce(_repeated_words(F.col("_windows")), F.array().cast("array<int>")),
+        likely,
+        found,
+        _at=F.sort_array(
+            F.transform(
+                F.filter(
+                    again,
+                    lambda x, i: (x["window"] == F.get(again, i - 1)["window"])
+                    | (x["window"] == F.get(again, i + 1)["window"]),
+                ),
+                lambda x: x["p"],
+            )
+        ),
     )
+    # each repeated window covers three words, less what the next one covers itself
     at = F.col("_at")
     covered = F.aggregate(
         F.transform(at, lambda p, i: F.least(F.coalesce(F.get(at, i + 1) - p, F.lit(3)), F.lit(3))),
