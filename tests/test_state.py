@@ -1,6 +1,7 @@
 """State features against a plain simulation, in batch and as a stream."""
 
 import datetime as dt
+import json
 import random
 
 import pytest
@@ -88,7 +89,7 @@ def test_stream_equals_simulation(spark, tmp_path):
         frame(spark, chunk).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     schema = frame(spark, rows).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    writer = keyed_features_stream(stream, delay="4000 days").writeStream.outputMode("append")
+    writer = keyed_features_stream(stream).writeStream.outputMode("append")
     writer = writer.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True)
     writer.format("parquet").option("path", str(tmp_path / "out")).start().awaitTermination()
     found = spark.read.parquet(str(tmp_path / "out")).collect()
@@ -136,3 +137,17 @@ def test_session_summary(spark):
         for r in found
     }
     assert got == expected
+
+
+def test_late_rows_keep_their_second_and_absences_show():
+    from logvane.streaming.state import EMPTY, _step
+
+    memory = json.loads(EMPTY) | {"endpoints": set()}
+    first = _step(memory, 1000, False, False, "/a")
+    newest = _step(memory, 1200, True, True, "/b")
+    late = _step(memory, 1030, False, False, "/c")
+    assert first[4:] == (0.0, 0.0) and newest[4:] == (200.0, 200.0)
+    assert late == (0.0, 1 / 60, 0.0, 2, 30.0, 30.0)
+    assert memory["last"] == 1200
+    assert _step(memory, 1200 + 21_600, False, False, "/a")[3:] == (0, 21_600.0, 0.0)
+    assert _step(memory, 1200 + 21_600 + 4000, False, False, "/a", 3600)[4] == 0.0
