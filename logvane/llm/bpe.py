@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -26,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from logvane.llm.common import arrow_map
+from logvane.llm.common import Memory, arrow_map
 
 #: Ranks of the multilingual vocabulary, and the pattern that cuts text before the merges.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-#: Remembered pieces per Python worker; beyond that the memory starts anew.
-REMEMBERED = 700_000
+#: Pre-tokens and stretches of text of which a Python worker keeps the ids, twice each at most.
+REMEMBERED = 300_000
 
 _NONE = np.iinfo(np.int32).max
 
@@ -212,43 +213,44 @@ class Vocabulary:
 
 
 class Encoder:
-    """Texts to ids. Remembers the ids of the stretches between spaces it has met."""
+    """Texts to ids. Remembers the ids of pre-tokens and of the stretches between spaces.
+
+    The pattern always cuts before a space that a non-space follows, so a text is its head and such
+    stretches; heads, new stretches, and texts with other spaces are cut by the pattern itself.
+    """
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.odd_space = re.compile(r" (?:\s|$)")
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: set[str]) -> None:
-        """Ids of stretches of text that start and end where the pattern always cuts."""
-        cut = {p: self.pattern.findall(p) for p in pieces}
-        parts = list({x for found in cut.values() for x in found})
-        coded = dict(zip(parts, self.vocabulary.encode_pieces([x.encode() for x in parts]), strict=True))
-        if len(self.known) + len(cut) > REMEMBERED:
-            self.known = {}
-        for p, found in cut.items():
-            self.known[p] = b"".join(map(coded.__getitem__, found))
+        self.stretches, self.tokens = Memory(REMEMBERED), Memory(REMEMBERED)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The pattern always cuts before a space that a non-space follows, so a text is its
-        stretches between such spaces; texts with other spaces are cut by the pattern itself."""
-        stretches = []
+        self.stretches.begin()
+        self.tokens.begin()
+        cut = self.pattern.findall
+        heads, tails = [], []
         for text in texts:
             if not text:
-                stretches.append([])
+                heads.append([])
+                tails.append([])
             elif self.odd_space.search(text):
-                stretches.append(self.pattern.findall(text))
+                heads.append(cut(text))
+                tails.append([])
             else:
-                first, *others = text.split(" ")
-                stretches.append([first, *map(" ".__add__, others)] if first else [*map(" ".__add__, others)])
-        new = set().union(*stretches) - self.known.keys() if stretches else set()
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known = {}
-                new = set().union(*stretches)
-            self._learn(new)
-        return [b"".join(map(self.known.__getitem__, x)) for x in stretches]
+                head, *rest = text.split(" ")
+                heads.append(cut(head))
+                tails.append(rest)
+        new = {s: cut(" " + s) for s in self.stretches.missing(chain.from_iterable(tails))}
+        unmet = self.tokens.missing(chain(chain.from_iterable(heads), chain.from_iterable(new.values())))
+        coded = self.vocabulary.encode_pieces([t.encode() for t in unmet])
+        self.tokens.young.update(zip(unmet, coded, strict=True))
+        of_token, of_stretch = self.tokens.young.__getitem__, self.stretches.young.__getitem__
+        self.stretches.young.update((s, b"".join(map(of_token, x))) for s, x in new.items())
+        return [
+            b"".join(chain(map(of_token, head), map(of_stretch, rest)))
+            for head, rest in zip(heads, tails, strict=True)
+        ]
 
 
 @lru_cache(maxsize=2)

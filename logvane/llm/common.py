@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -121,3 +122,27 @@ def arrow_map(
             yield from flush()
 
     return df.mapInArrow(run, schema)
+
+
+class Memory:
+    """What a Python worker has computed, by text; what it has not met for long is forgotten.
+
+    `young` holds what the last chunks asked for. Where it has outgrown the limit when a chunk begins,
+    it becomes `old`, from where entries come back when they are asked for again.
+    """
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def begin(self) -> None:
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+
+    def missing(self, keys: Iterable[str]) -> list[str]:
+        """Keys that must be computed and put into `young`, which then has all of `keys`."""
+        absent = set(filterfalse(self.young.__contains__, keys))
+        back = {k: self.old[k] for k in absent if k in self.old}
+        self.young.update(back)
+        return [k for k in absent if k not in back]
