@@ -234,13 +234,23 @@ def split_stratified(spark, sf):
     return evaluate.stratified_split(derived.labelled_scores(spark, sf)).select("id", "label", "split")
 
 
+SPLIT = f"SELECT *, CASE WHEN r < 0.6 THEN 'train' WHEN r < 0.8 THEN 'validation' ELSE 'test' END AS split FROM (SELECT *, (row_number() OVER (PARTITION BY label ORDER BY md5(CAST(id AS VARCHAR) || '-42'), id) - 1) / count(*) OVER (PARTITION BY label) AS r FROM {L})"
+PAIRS = (("train", "validation"), ("train", "test"), ("validation", "test"))
+
+
 @query(
     "leakage_intersect",
-    "SELECT 'error-click' AS pair, count(*) AS shared FROM (SELECT props FROM events WHERE event_type = 'error' INTERSECT SELECT props FROM events WHERE event_type = 'click') UNION ALL SELECT 'error-view', count(*) FROM (SELECT props FROM events WHERE event_type = 'error' INTERSECT SELECT props FROM events WHERE event_type = 'view') UNION ALL SELECT 'click-view', count(*) FROM (SELECT props FROM events WHERE event_type = 'click' INTERSECT SELECT props FROM events WHERE event_type = 'view')",
+    f"WITH s AS ({SPLIT}) "
+    + " UNION ALL ".join(
+        f"SELECT '{a}-{b}' AS pair, count(*) AS shared FROM (SELECT score FROM s WHERE split = '{a}' INTERSECT SELECT score FROM s WHERE split = '{b}')"
+        for a, b in PAIRS
+    ),
 )
 def leakage_intersect(spark, sf):
-    events = derived.read_table(spark, sf, "events")
-    return evaluate.overlap({t: events.filter(F.col("event_type") == t) for t in ("error", "click", "view")}, ["props"])
+    """What the parts of the whole table's split have in common: here, scores."""
+    split = stage(evaluate.stratified_split(derived.labelled_scores(spark, sf)))
+    parts = {name: split.filter(F.col("split") == name) for name, _ in evaluate.SHARES}
+    return evaluate.overlap(parts, ["score"])
 
 
 @query("union_stack", "SELECT event_id, value, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS label FROM events")

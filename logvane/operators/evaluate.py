@@ -59,13 +59,20 @@ def stack_labelled(normal: DataFrame, anomalous: DataFrame) -> DataFrame:
     )
 
 
-def majority(df: DataFrame, label: str = "label") -> DataFrame:
-    """The most frequent label (the smaller one on a tie) and the accuracy of saying it."""
+def _label_counts(df: DataFrame, label: str) -> DataFrame:
+    """One row: the most frequent label (the smaller on a tie), its rows, the positives, all rows."""
     counts = df.groupBy(label).agg(F.count("*").alias("_n"))
     best = F.max(F.struct(F.col("_n"), (-F.col(label)).alias("_l")))
-    return counts.agg(best.alias("_b"), F.sum("_n").alias("_t")).select(
-        (-F.col("_b._l")).alias("label"), (F.col("_b._n") / F.col("_t")).alias("accuracy")
-    )
+    return counts.agg(
+        best.alias("_b"),
+        F.coalesce(F.sum(F.when(F.col(label) == 1, F.col("_n"))), F.lit(0)).alias("positives"),
+        F.sum("_n").alias("total"),
+    ).select((-F.col("_b._l")).alias("label"), F.col("_b._n").alias("rows"), "positives", "total")
+
+
+def majority(df: DataFrame, label: str = "label") -> DataFrame:
+    """The most frequent label (the smaller one on a tie) and the accuracy of saying it."""
+    return _label_counts(df, label).select("label", (F.col("rows") / F.col("total")).alias("accuracy"))
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -103,22 +110,31 @@ def _curve(df: DataFrame, score: str, label: str) -> DataFrame:
     return running_totals(falling, [], "_bucket", ["_down"], {"_tp0": "_p", "_fp0": "_n"})
 
 
-def roc_auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Share of (positive, negative) pairs in the right order; ties count half."""
+def areas(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    """Both areas from one curve.
+
+    `roc_auc` is the share of (positive, negative) pairs in the right order, ties counting half;
+    `pr_auc` the area under precision over recall by trapezoids, from recall 0 at precision 1.
+    """
     curve = _curve(df, score, label)
     won = F.sum(F.col("_n") * (F.col("_tp0") + F.col("_p") / 2))
     pairs = F.sum("_p").cast("double") * F.sum("_n")
-    return curve.agg(F.coalesce(F.try_divide(won.cast("double"), pairs), F.lit(0.0)).alias("roc_auc"))
-
-
-def pr_auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """Area under precision over recall by trapezoids, from recall 0 at precision 1."""
-    curve = _curve(df, score, label)
     seen = F.col("_tp0") + F.col("_fp0")
     before = F.when(seen == 0, F.lit(1.0)).otherwise(_ratio(F.col("_tp0"), seen))
     after = _ratio(F.col("_tp0") + F.col("_p"), seen + F.col("_p") + F.col("_n"))
     area = F.sum(F.col("_p") * (before + after) / 2)
-    return curve.agg(_ratio(area, F.sum("_p")).alias("pr_auc"))
+    return curve.agg(
+        F.coalesce(F.try_divide(won.cast("double"), pairs), F.lit(0.0)).alias("roc_auc"),
+        _ratio(area, F.sum("_p")).alias("pr_auc"),
+    )
+
+
+def roc_auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    return areas(df, score, label).select("roc_auc")
+
+
+def pr_auc(df: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+    return areas(df, score, label).select("pr_auc")
 
 
 def report(
@@ -126,24 +142,23 @@ def report(
 ) -> DataFrame:
     """All metrics of one data set in one row."""
     base = confusion(df, F.col(score) >= threshold, label)
+    both = areas(df, score, label).select(F.struct("roc_auc", "pr_auc")).scalar()
     return base.withColumns(
         {
             "dataset": F.lit(name),
             "n_samples": F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"),
-            "roc_auc": roc_auc(df, score, label).scalar(),
-            "pr_auc": pr_auc(df, score, label).scalar(),
+            "roc_auc": both["roc_auc"],
+            "pr_auc": both["pr_auc"],
         }
     )
 
 
 def gain_over_majority(metrics: DataFrame, df: DataFrame, label: str = "label") -> DataFrame:
     """What the model adds to always saying the most frequent label."""
-    base = majority(df, label)
-    usual = base.select("label").scalar()
-    positives = df.filter(F.col(label) == 1).agg(F.count("*")).scalar()
-    total = df.agg(F.count("*")).scalar()
-    base_f1 = F.when(usual == 1, 2 * positives / (positives + total)).otherwise(F.lit(0.0))
+    found = _label_counts(df, label).select(F.struct("*")).scalar()
+    positives, total = found["positives"], found["total"]
+    base_f1 = F.when(found["label"] == 1, 2 * positives / (positives + total)).otherwise(F.lit(0.0))
     return metrics.select(
-        (F.col("accuracy") - base.select("accuracy").scalar()).alias("accuracy_gain"),
+        (F.col("accuracy") - found["rows"] / total).alias("accuracy_gain"),
         (F.col("f1") - base_f1).alias("f1_gain"),
     )

@@ -299,10 +299,17 @@ def unique_keys_last_hour(
 
 
 def with_unique_ips(
-    events: DataFrame, key: str = "source_ip", ts: str = "timestamp"
+    events: DataFrame,
+    key: str = "source_ip",
+    ts: str = "timestamp",
+    active: DataFrame | None = None,
 ) -> DataFrame:
-    """Attach the count of addresses in the hour before the event's minute."""
-    per_minute = unique_keys_last_hour(events, key, ts).withColumnRenamed("minute", "_minute")
+    """Attach the count of addresses in the hour before the event's minute.
+
+    `active` are the events to count, if not `events` themselves: the stored ones, where `events`
+    is a long plan that would otherwise be run twice.
+    """
+    per_minute = unique_keys_last_hour(events if active is None else active, key, ts).withColumnRenamed("minute", "_minute")
     return (
         events.withColumn("_minute", F.date_trunc("minute", F.col(ts).cast("timestamp")))
         .join(per_minute, "_minute")

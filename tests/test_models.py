@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from logvane.operators import dbscan, ensemble, gmm, iforest, vectors
+from logvane.plans import training
 from logvane.session import stage
 
 
@@ -120,3 +121,20 @@ def test_train_save_load_score(spark, tmp_path):
     assert all(0.0 <= v <= 1.0 for v in a.values())
     usual = np.mean([a[i] for i in range(300)])
     assert min(a[i] for i in range(300, 306)) > usual
+
+
+def test_train_and_evaluate(spark, tmp_path):
+    rng = np.random.default_rng(9)
+    x = np.vstack([rng.normal(0, 1, (400, 3)), rng.normal(9, 0.5, (24, 3))])
+    labels = [0] * 400 + [1] * 24
+    rows = stage(frame(spark, x).withColumn("label", (F.col("id") >= 400).cast("int")))
+    assert rows.filter("label = 1").count() == sum(labels)
+    models, report = training.train_and_evaluate(
+        rows, "v1", str(tmp_path), trees=20, eps=1.5, min_samples=10, components=2, restarts=1
+    )
+    r = report.first()
+    assert abs(r["test"]["n_samples"] + r["validation"]["n_samples"] - 170) <= 2
+    assert r["test"]["roc_auc"] > 0.95 and r["shared_features"] == 0
+    assert r["improvement"]["accuracy_gain"] == pytest.approx(r["test"]["accuracy"] - r["baseline"]["accuracy"])
+    assert ensemble.load(spark, str(tmp_path)).version == models.version == "v1"
+    assert spark.read.json(str(tmp_path / "reports")).count() == 1
