@@ -64,10 +64,15 @@ def contexts(words: np.ndarray) -> np.ndarray:
     return np.concatenate([[_END], words[:-1]])
 
 
+#: The high bits of an n-gram's hash are its last word's, and tell its segment.
+_WORD_SHIFT = 48
+
+
 def pairs(before: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Hashes of pairs; the lowest bit is 1."""
+    """Hashes of pairs, with the high bits of the second word; the lowest bit is 1."""
     with np.errstate(over="ignore"):
-        return mix(before * _PAIR + mix(words)) | np.uint64(1)
+        own = mix(before * _PAIR + mix(words)) >> np.uint64(64 - _WORD_SHIFT)
+    return words >> np.uint64(_WORD_SHIFT) << np.uint64(_WORD_SHIFT) | own | np.uint64(1)
 
 
 def held_out(doc_id: Column, split_mod: int = SPLIT_MOD) -> Column:
@@ -75,27 +80,24 @@ def held_out(doc_id: Column, split_mod: int = SPLIT_MOD) -> Column:
 
 
 def count_ngrams(training: DataFrame) -> DataFrame:
-    """`gram`, `word` (the hash of its last word) and `n` over all texts."""
+    """`gram` and `n` over all texts."""
 
     def work(rows: dict[str, list]):
         texts = [tokens(text) for text in rows["text"]]
         words = np.concatenate(texts)
         both = np.concatenate([contexts(t) for t in texts])
-        grams, first, n = np.unique(pairs(both, words), return_index=True, return_counts=True)
+        grams, n = np.unique(pairs(both, words), return_counts=True)
         singles, counts = np.unique(words, return_counts=True)
         yield {
             "gram": np.concatenate([singles, grams]).view(np.int64),
-            "word": np.concatenate([singles, words[first]]).view(np.int64),
             "n": np.concatenate([counts, n]),
         }
 
-    counted = arrow_map(
-        training.select("text"), work, "gram long, word long, n long", chunk_bytes=16 << 20
-    )
+    counted = arrow_map(training.select("text"), work, "gram long, n long", chunk_bytes=16 << 20)
     single = F.col("gram").bitwiseAND(1) == 0
     return (
         counted.groupBy("gram")
-        .agg(F.first("word").alias("word"), F.sum("n").alias("n"))
+        .agg(F.sum("n").alias("n"))
         .where(single | (F.col("n") >= MIN_PAIR))
     )
 
@@ -137,6 +139,10 @@ def _build_block(found: pa.Table) -> pa.Table:
     )
 
 
+#: Bits of an n-gram's hash, after the lowest eight, that tell its block.
+_BLOCK_MASK = (1 << (_WORD_SHIFT - 8)) - 1
+
+
 class Segment:
     """The n-grams of every word whose hash falls to this segment."""
 
@@ -145,11 +151,11 @@ class Segment:
         self.bits = np.zeros(blocks * BLOCK_BITS // 8, np.uint8)
 
     def mine(self, words: np.ndarray) -> np.ndarray:
-        return (words.view(np.int64) >> 1) % self.segments == self.number
+        return (words >> np.uint64(_WORD_SHIFT)).astype(np.int64) % self.segments == self.number
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
         """The quantised count of each n-gram: probe levels until one is missing."""
-        block = (grams.view(np.int64) >> 20) % self.blocks * BLOCK_BITS
+        block = (grams.view(np.int64) >> 8 & _BLOCK_MASK) % self.blocks * BLOCK_BITS
         found, left, level = np.zeros(len(grams), np.int64), np.arange(len(grams)), 0
         while len(left):
             level += 1
@@ -194,11 +200,12 @@ def fit(training: DataFrame) -> Model:
         F.sum(F.when(single, F.col("n"))), F.count(F.when(single, 1)), F.sum("level")
     ).first()
     segments = max(1, -(-(items or 0) * BITS_PER_ITEM // (8 * SEGMENT_BYTES)))
-    placed = levelled.withColumn("segment", F.pmod(F.shiftright("word", 1), F.lit(segments)))
+    word_bits = F.shiftrightunsigned("gram", _WORD_SHIFT)
+    placed = levelled.withColumn("segment", F.pmod(word_bits, F.lit(segments)).cast("long"))
     sizes = {r.segment: r.items for r in placed.groupBy("segment").agg(F.sum("level").alias("items")).collect()}
     blocks = tuple(max(1, -(-sizes.get(k, 0) * BITS_PER_ITEM // BLOCK_BITS)) for k in range(segments))
     in_segment = F.get(F.array(*map(F.lit, blocks)), F.col("segment").cast("int"))
-    laid = placed.withColumn("block", F.pmod(F.shiftright("gram", 20), in_segment).cast("long"))
+    laid = placed.withColumn("block", F.pmod(F.shiftright("gram", 8).bitwiseAND(_BLOCK_MASK), in_segment).cast("long"))
     built = (
         laid.select("segment", "block", "gram", "level")
         .groupBy("segment", "block")
