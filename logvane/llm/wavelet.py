@@ -28,6 +28,7 @@ import os
 import re
 import uuid
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -38,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logvane.llm.common import arrow_map
+from logvane.llm.common import Memory, arrow_map
 from logvane.session import shared_checkpoint_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -47,16 +48,20 @@ MAGIC = b"LVWAVE1\n"
 BLOCK = 1 << 16
 #: A shard is closed once it holds so many tokens.
 SHARD_TOKENS = 4 << 20
-#: Remembered stretches per Python worker; beyond that the memory starts anew.
-REMEMBERED = 700_000
+#: Stretches of text of which a Python worker keeps the ids, twice as many at most.
+REMEMBERED = 500_000
+#: Marks that may end a word, and the letters up to here, on which all libraries agree.
+_MARKS = ".,;:!?"
+_PLAIN_LETTERS = "\u0250"
 
 
 class LibraryEncoder:
     """Whole texts to ids with the tokenizers library.
 
-    The vocabulary's pattern always cuts before a space that a non-space follows, so the ids of a
-    text are those of its stretches between such spaces, and the library sees each new stretch once.
-    Texts with other spaces go to it whole.
+    The vocabulary's pattern always cuts before a space that a non-space follows, and between letters
+    and punctuation that is no apostrophe. So the ids of a text are those of its stretches between
+    such spaces, and a word's do not depend on a full stop after it: the library sees each head, new
+    word, mark and other stretch once. Texts with other spaces go to it whole.
     """
 
     def __init__(self, path: str):
@@ -66,28 +71,66 @@ class LibraryEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.odd_space = re.compile(r" (?:\s|$)")
-        self.known: dict[str, bytes] = {}
+        self.stretches, self.marks = Memory(REMEMBERED), Memory(REMEMBERED)
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.opens[[k for token, k in vocabulary.items() if token.startswith("\u0120")]] = True
+
+    def _library(self, pieces: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
+        return [np.array(x.ids, "<u4").tobytes() for x in found]
+
+    def _spaced(self, stretches: list[str]) -> list[bytes]:
+        """Ids of each stretch with the space before it.
+
+        The library gets many at once as one text; a token that begins with a space opens the next.
+        """
+        out = []
+        for start in range(0, len(stretches), 1000):
+            part = stretches[start : start + 1000]
+            (found,) = self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            cuts = [*(4 * np.flatnonzero(self.opens[ids])).tolist(), 4 * len(ids)]
+            if len(cuts) != len(part) + 1:
+                raise ValueError("the vocabulary joins words over a space")
+            data = ids.tobytes()
+            out += [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        stretches = []
+        self.stretches.begin()
+        self.marks.begin()
+        heads, tails = [], []
         for text in texts:
-            if not text:
-                stretches.append([])
-            elif self.odd_space.search(text):
-                stretches.append([text])
+            odd = not text or self.odd_space.search(text)
+            head, *rest = [text or ""] if odd else text.split(" ")
+            heads.append(head)
+            tails.append(rest)
+        # one look-up a word: what is not known is filled in where it is missing
+        known = self.stretches
+        values = [list(map(known.young.get, rest)) for rest in tails]
+        unmet = {
+            s for rest, ids in zip(tails, values, strict=True) for s, x in zip(rest, ids, strict=True) if x is None
+        }
+        parted, whole = {}, []
+        for s in known.missing(unmet):
+            word = s.rstrip(_MARKS)
+            if word != s and word.isalpha() and max(word) < _PLAIN_LETTERS:
+                parted[s] = (word, s[len(word) :])
             else:
-                first, *others = text.split(" ")
-                stretches.append([*([first] if first else []), *map(" ".__add__, others)])
-        wanted = set().union(*stretches)
-        new = wanted - self.known.keys()
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, wanted
-        pieces = list(new)
-        coded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        for piece, found in zip(pieces, coded, strict=True):
-            self.known[piece] = np.array(found.ids, "<u4").tobytes()
+                whole.append(s)
+        marks = self.marks.missing(mark for _, mark in parted.values())
+        self.marks.young.update(zip(marks, self._library(marks), strict=True))
+        words = known.missing({word for word, _ in parted.values()} - set(whole))
+        new = [*whole, *words]
+        known.young.update(zip(new, self._spaced(new), strict=True))
+        known.young.update((s, known.young[w] + self.marks.young[m]) for s, (w, m) in parted.items())
+        now = known.young
         return [
-            np.frombuffer(b"".join(map(self.known.__getitem__, x)), "<u4") for x in stretches
+            np.frombuffer(
+                head + b"".join([now[s] if x is None else x for s, x in zip(rest, ids, strict=True)]), "<u4"
+            )
+            for head, rest, ids in zip(self._library(heads), tails, values, strict=True)
         ]
 
 
@@ -101,18 +144,22 @@ def pack(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
     squeeze = zstandard.ZstdCompressor(level=1).compress
     bits = max(1, int(ids.max(initial=0)).bit_length())
     places, ones, zeros, blocks, at = [], [], [], [], 0
-    rest = ids
+    rest = ids.astype(np.uint16) if bits <= 16 else ids
     for level in reversed(range(bits)):
-        plane = (rest >> rest.dtype.type(level) & rest.dtype.type(1)).astype(bool)
-        rest = np.concatenate([rest[~plane], rest[plane]])
-        zeros.append(int(len(plane) - plane.sum()))
-        starts = range(0, len(plane), BLOCK)
-        held = [squeeze(np.packbits(plane[s : s + BLOCK])) for s in starts]
+        plane = rest & rest.dtype.type(1 << level) != 0
+        bytes_ = np.packbits(plane)
+        held = [squeeze(bytes_[s : s + BLOCK // 8]) for s in range(0, len(bytes_), BLOCK // 8)]
+        counts = [
+            int(np.bitwise_count(bytes_[s : s + BLOCK // 8]).sum(dtype=np.int64))
+            for s in range(0, len(bytes_), BLOCK // 8)
+        ]
+        zeros.append(len(plane) - sum(counts))
+        if level:
+            rest = np.concatenate([rest[~plane], rest[plane]])
         sizes = np.array([len(h) for h in held], np.int64)
         places.append(at + np.concatenate([[0], np.cumsum(sizes)]))
         at += int(sizes.sum())
-        counts = np.array([plane[s : s + BLOCK].sum() for s in starts], np.int64)
-        ones.append(np.concatenate([[0], np.cumsum(counts)]))
+        ones.append(np.concatenate([[0], np.cumsum(np.array(counts, np.int64))]))
         blocks += held
     parts = [doc_ids, lengths, np.concatenate(places), np.concatenate(ones)]
     sections = [squeeze(np.ascontiguousarray(x, "<i8").tobytes()) for x in parts]
@@ -207,15 +254,15 @@ class WaveletFile:
 
     def tokens(self) -> np.ndarray:
         """All ids, from the lowest plane up: each plane undoes its own parting."""
-        values = np.zeros(self.n, np.uint32)
+        values = np.zeros(self.n, np.uint16 if self.bits <= 16 else np.uint32)
         for plane in reversed(range(self.bits)):
             parts = [self._read_block(plane, b) for b in range(self.ones.shape[1] - 1)]
             ones = np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)
             out = np.empty_like(values)
             out[~ones] = values[: self.zeros[plane]]
-            out[ones] = values[self.zeros[plane] :] | np.uint32(1 << (self.bits - 1 - plane))
+            out[ones] = values[self.zeros[plane] :] | values.dtype.type(1 << (self.bits - 1 - plane))
             values = out
-        return values
+        return values.astype(np.uint32)
 
 
 _NO_ID = np.iinfo(np.int64).min
@@ -302,7 +349,9 @@ def with_starts(files: DataFrame) -> DataFrame:
 
 def read(files: DataFrame, folder: str) -> DataFrame:
     """Per document of the files, in any order: doc_id, start, n_tokens and `ids` (binary)."""
-    spread = files.select("file", "start").repartition("file")
+    # rows are tiny and files are not, so the number of tasks is given and never coalesced
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = files.select("part", "seq", "file", "start").repartitionByRange(tasks, "part", "seq")
 
     def work(rows: dict[str, list]):
         system, _ = pafs.FileSystem.from_uri(folder)
