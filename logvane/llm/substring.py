@@ -9,7 +9,7 @@ How the work is dealt out
     Each task hashes bounded chunks of documents. Within a chunk all but the smallest document of
     each hash is decided at once, so however often a line stands in the corpus, a chunk sends each
     of its windows for one document only; no hash gathers more rows than there are chunks. The rest
-    travels as packed columns by range of hash, meets there, and what was found repeated goes back
+    travels as packed columns by hash, meets there, and what was found repeated goes back
     by chunk. The text is joined to its intervals once, at the end.
 
 Defined results: null text has no words; a text shorter than a window loses nothing; documents with
@@ -45,17 +45,20 @@ def _unplanes(data: memoryview, kind: type, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, n).T).view(kind)[:, 0]
 
 
-def _pack(hashes: np.ndarray, at: np.ndarray, doc: np.ndarray) -> bytes:
+def _pack(rest: np.ndarray, at: np.ndarray, doc: np.ndarray) -> bytes:
+    """Hashes without what their bucket tells (7 bytes), positions and documents as steps."""
     steps = np.diff(at, prepend=at[:1] * 0).astype(np.uint32)
     jumps = np.diff(doc, prepend=doc[:1] * 0)
-    return hashes.tobytes() + _planes(steps) + _planes(jumps)
+    short = rest.view(np.uint8).reshape(-1, 8)[:, :7]
+    return short.tobytes() + _planes(steps) + _planes(jumps)
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, view = len(blob) // 20, memoryview(blob)
-    hashes = np.frombuffer(view[: 8 * n], np.uint64)
-    at = np.cumsum(_unplanes(view[8 * n : 12 * n], np.uint32, n), dtype=np.int64)
-    return hashes, at, np.cumsum(_unplanes(view[12 * n :], np.int64, n))
+    n, view = len(blob) // 19, memoryview(blob)
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :7] = np.frombuffer(view[: 7 * n], np.uint8).reshape(n, 7)
+    at = np.cumsum(_unplanes(view[7 * n : 11 * n], np.uint32, n), dtype=np.int64)
+    return wide.view(np.uint64)[:, 0], at, np.cumsum(_unplanes(view[11 * n :], np.int64, n))
 
 
 def _first_docs(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -97,7 +100,7 @@ def _chunk_rows(size: int, buckets: int):
         edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             at = left[a:b]
-            out.append((int(bucket[a]), _WINDOWS, _pack(hashes[at], at, doc[at])))
+            out.append((int(bucket[a]), _WINDOWS, _pack(hashes[at] // np.uint64(buckets), at, doc[at])))
         yield {
             "bucket": [b for b, _, _ in out],
             "chunk": [chunk] * len(out),
@@ -166,11 +169,11 @@ def _back_to_documents(size: int):
 def repeated_spans(docs: DataFrame, size: int = WINDOW, buckets: int | None = None) -> DataFrame:
     """Per text with repeats: `_key` (hash of doc_id and text), and its intervals of words.
 
-    `buckets` ranges of hashes meet in one task each; four per shuffle partition by default, so
-    their size follows the cluster's own setting.
+    `buckets` sets of hashes meet in one task each; four per shuffle partition by default, so their
+    size follows the cluster's own setting, and at least 256, so that a byte of each hash is saved.
     """
     spark = docs.sparkSession
-    buckets = buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(256, buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     keyed = docs.select("doc_id", "text", _key()).where("text is not null")
     rows = arrow_map(
         keyed, _chunk_rows(size, buckets), "bucket int, chunk long, kind int, blob binary"
