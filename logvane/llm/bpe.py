@@ -32,7 +32,7 @@ from logvane.llm.common import Memory, arrow_map
 #: Ranks of the multilingual vocabulary, and the pattern that cuts text before the merges.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Pre-tokens and stretches of text of which a Python worker keeps the ids, twice each at most.
-REMEMBERED = 300_000
+REMEMBERED = 120_000
 
 _NONE = np.iinfo(np.int32).max
 
@@ -274,4 +274,4 @@ def encode(docs: DataFrame, path: str = RANKS) -> DataFrame:
         ids = coder.encode(found["text"])
         yield {"row": found["row"], "ids": ids, "decoded": [*map(coder.vocabulary.decode, ids)]}
 
-    return arrow_map(rows, work, schema)
+    return arrow_map(rows, work, schema, chunk_bytes=4 << 20)
