@@ -93,7 +93,7 @@ def count_ngrams(training: DataFrame) -> DataFrame:
             "n": np.concatenate([counts, n]),
         }
 
-    counted = arrow_map(training.select("text"), work, "gram long, n long", chunk_bytes=16 << 20)
+    counted = arrow_map(training.select("text"), work, "gram long, n long", chunk_bytes=6 << 20)
     single = F.col("gram").bitwiseAND(1) == 0
     return (
         counted.groupBy("gram")
@@ -300,6 +300,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         work,
         "doc_id long, key long, n_tokens long, known long, base double, part double,"
         " rare array<long>, times array<long>",
+        chunk_bytes=3 << 20,
     )
     # written once, so that a row keeps its number
     found = stage(found.withColumn("row", F.monotonically_increasing_id()))
@@ -322,7 +323,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             texts = [tokens(text) for text in rows["text"]]
             yield {"key": rows["key"], "more": _parts(held.value, total, distinct, texts)}
 
-        extra = arrow_map(keyed, more, "key long, more double").dropDuplicates(["key"])
+        extra = arrow_map(keyed, more, "key long, more double", chunk_bytes=3 << 20)
+        extra = extra.dropDuplicates(["key"])
         parts = parts.join(extra, "key").withColumn("part", F.col("part") + F.col("more")).drop("more")
     whole = math.log10(total + _PRIOR * (distinct + 1))
     return parts.join(rest, "row", "left").select(
