@@ -1,22 +1,28 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word-pair seeds, then Smith-Waterman alignment.
 
-Words are lower-cased and cut at white space and ASCII punctuation. A seed is a run of `GRAM` words
-of a test item. How many documents hold each is counted over the whole corpus, and every item keeps
-the rarer half of its runs as seeds, at least `FEWEST` of them: common phrases start no alignment,
-yet an item that has leaked into many documents keeps its rarest runs. Where a document holds seeds
-of an item, the passage around them is aligned with the item word by word; a match gives 2 points, a
-mismatch or gap takes 1, and the best local score over that of the whole item is the score.
+Words are lower-cased and cut at white space and ASCII punctuation. A match of the alignment gives 2
+points, a mismatch or gap takes 1, and the best local score over that of the whole item is the score.
+
+Seeds lose no alignment that reaches the score. Of an item with n words it has m matches and takes at
+most 2 m - 2 n * score points off, so it spans n * (3 - 2 * score) words at most, and at least
+n * score - 1 of its neighbouring matches have one other word between them at most: all others take 2
+points each. Two words, next to each other or one apart, are a seed, in items as in documents. A
+passage is aligned word by word where a document holds so many seeds of an item within that span.
+Each item leaves out its commonest seeds, up to half of that number, and asks for so many fewer. For
+items of `FEWEST` words and more and n * score > 1, the result is that of aligning every document
+with every item.
 
 Test items are the small side. They are read in blocks of at most `BLOCK_WORDS` words, so what is
 broadcast has a fixed bound; each block goes over all documents.
 
-Defined results: null or empty texts and items match nothing, nor do items under `GRAM` words; items
+Defined results: null or empty texts and items match nothing, nor do items under `FEWEST` words; items
 with equal text are reported each; repeated documents give repeated rows; without items no document
 is reported, and all are kept. Columns besides doc_id and text are kept as they are.
 """
 
 from __future__ import annotations
 
+import math
 import string
 from collections.abc import Iterator
 
@@ -26,10 +32,10 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logvane.llm.common import arrow_map, hash_words, window_hashes
+from logvane.llm.common import arrow_map, hash_words
 
-GRAM = 3
-FEWEST = 6
+#: Words of the shortest item that can match.
+FEWEST = 3
 MATCH, MISS = 2, 1
 #: Least share of an item's best possible score.
 SCORE = 0.4
@@ -43,56 +49,93 @@ def word_hashes(text: str | None) -> np.ndarray:
     return hash_words((text or "").lower().encode().translate(_CUT).split())
 
 
+_FIRST, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def pair_hashes(words: np.ndarray, distance: int) -> np.ndarray:
+    """Hashes of each word with the one `distance` after it."""
+    return words[:-distance] * _FIRST + words[distance:] * _SECOND
+
+
 class Items:
-    """A block of test items: word hashes of each, and where its n-grams stand."""
+    """A block of test items: word hashes of each, and which of them hold a seed."""
 
-    def __init__(self, rows: list[tuple], frequency: dict[int, int] | None = None):
+    def __init__(self, rows: list[tuple], least: float):
         self.ids = [item_id for item_id, _ in rows]
         self.words = [word_hashes(text) for _, text in rows]
-        grams = [window_hashes(w, GRAM) for w in self.words]
-        kept = [np.arange(len(g)) for g in grams]
-        if frequency is not None:
-            for k, g in enumerate(grams):
-                rarest = sorted(range(len(g)), key=lambda i: (frequency.get(int(g[i]), 0), i))
-                kept[k] = np.sort(np.array(rarest[: max(FEWEST, (len(g) + 1) // 2)], np.int64))
-        self.gram = np.concatenate([np.zeros(0, np.uint64), *[g[k] for g, k in zip(grams, kept, strict=True)]])
-        self.item = np.repeat(np.arange(len(rows)), [len(k) for k in kept])
-        self.offset = np.concatenate([np.zeros(0, np.int64), *kept]).astype(np.int64)
-        order = np.argsort(self.gram, kind="stable")
-        self.gram, self.item, self.offset = self.gram[order], self.item[order], self.offset[order]
-        self.known = np.zeros(1 << 20, bool)
-        self.known[self._slot(self.gram)] = True
-
-    @staticmethod
-    def _slot(grams: np.ndarray) -> np.ndarray:
-        return (grams >> np.uint64(44)).astype(np.int64)
-
-    def hits(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Positions in `grams` that hold a gram of the block, and its range among `self.gram`."""
-        at = np.flatnonzero(self.known[self._slot(grams)])
-        low = np.searchsorted(self.gram, grams[at], "left")
-        high = np.searchsorted(self.gram, grams[at], "right")
-        found = high > low
-        return at[found], low[found], high[found]
+        n = np.array([len(w) for w in self.words], np.int64)
+        #: The longest stretch of a document that an alignment of the least score takes.
+        self.reach = np.floor(n + MATCH * n * (1 - least) / MISS + 1e-9).astype(np.int64)
+        needed = np.maximum(np.ceil(n * least - 1 - 1e-9).astype(np.int64), 1)
+        seeds = [
+            np.concatenate([pair_hashes(w, 1), pair_hashes(w, 2)])
+            if len(w) >= FEWEST
+            else np.zeros(0, np.uint64)
+            for w in self.words
+        ]
+        every, inverse, counts = np.unique(
+            np.concatenate([np.zeros(0, np.uint64), *seeds]), return_inverse=True, return_counts=True
+        )
+        common = np.split(counts[inverse], np.cumsum([len(s) for s in seeds])[:-1])
+        left_out = needed // 2
+        kept = [
+            np.unique(s[np.argsort(c, kind="stable")[: len(s) - k]])
+            for s, c, k in zip(seeds, common, left_out.tolist(), strict=True)
+        ]
+        self.needed = needed - left_out
+        seed = np.concatenate([np.zeros(0, np.uint64), *kept])
+        item = np.repeat(np.arange(len(rows), dtype=np.int32), [len(k) for k in kept])
+        order = np.argsort(seed, kind="stable")
+        self.item = item[order]
+        self.seed, first, count = np.unique(seed[order], return_index=True, return_counts=True)
+        self.first, self.count = first.astype(np.int32), count.astype(np.int32)
+        bits = min(max(len(self.seed).bit_length() + 6, 16), 24)
+        self.shift = np.uint64(64 - bits)
+        self.known = np.zeros(1 << bits, bool)
+        self.known[self._slot(self.seed)] = True
+
+    def _slot(self, seeds: np.ndarray) -> np.ndarray:
+        return (seeds >> self.shift).astype(np.int64)
+
+    def hits(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, place) of the places of a document that hold a seed of an item, in this order."""
+        places, found = [], []
+        for distance in (1, 2):
+            seeds = pair_hashes(words, distance)
+            at = np.flatnonzero(self.known[self._slot(seeds)])
+            if len(at):
+                row = np.minimum(np.searchsorted(self.seed, seeds[at]), len(self.seed) - 1)
+                same = self.seed[row] == seeds[at]
+                places.append(at[same])
+                found.append(row[same])
+        if not places:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        place, row = np.concatenate(places), np.concatenate(found)
+        counts = self.count[row].astype(np.int64)
+        which = np.repeat(self.first[row] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        both = self.item[which].astype(np.int64) * len(words) + np.repeat(place, counts)
+        return np.divmod(np.unique(both), len(words))
 
     def passages(self, words: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(item, start, end) of the stretches of a document that hold seeds of an item."""
-        at, low, high = self.hits(window_hashes(words, GRAM))
-        if not len(at):
+        """(item, start, end) of the stretches of a document that can hold an alignment."""
+        item, place = self.hits(words)
+        if not len(item):
             return
-        counts = high - low
-        place = np.repeat(at, counts)
-        which = np.repeat(low, counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        item, start = self.item[which], place - self.offset[which]
-        order = np.lexsort((start, item))
-        item, start = item[order], start[order]
-        length = np.fromiter((len(self.words[i]) for i in item), np.int64, len(item))
-        new = np.concatenate([[True], (item[1:] != item[:-1]) | (np.diff(start) > length[1:])])
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(item)) - 1
-        for a, b in zip(first.tolist(), last.tolist(), strict=True):
-            slack = int(length[a]) // 2
-            yield int(item[a]), max(0, int(start[a]) - slack), int(start[b] + length[b]) + slack
+        last = np.arange(len(item)) + self.needed[item] - 1
+        end = np.minimum(last, len(item) - 1)
+        reach = self.reach[item]
+        enough = np.flatnonzero(
+            (last < len(item)) & (item[end] == item) & (place[end] - place < reach)
+        )
+        if not len(enough):
+            return
+        item, reach = item[enough], reach[enough]
+        start = np.maximum(place[end[enough]] + 1 - reach, 0)
+        stop = np.minimum(place[enough] + reach, len(words))
+        new = np.concatenate([[True], (item[1:] != item[:-1]) | (start[1:] > stop[:-1])])
+        begin = np.flatnonzero(new)
+        for a, b in zip(begin.tolist(), np.append(begin[1:], len(item)).tolist(), strict=True):
+            yield int(item[a]), int(start[a]), int(stop[b - 1])
 
 
 def _best_end(item: np.ndarray, words: np.ndarray) -> tuple[int, int]:
@@ -134,31 +177,10 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
         yield sorted((r.item_id, r.text) for r in rows)
 
 
-def gram_frequencies(docs: DataFrame, items: Broadcast) -> DataFrame:
-    """Per n-gram of the block: `documents` that hold it, over all of `docs`."""
-
-    def work(rows: dict[str, list]):
-        block: Items = items.value
-        seen = []
-        for text in rows["text"]:
-            grams = window_hashes(word_hashes(text), GRAM)
-            at, _, _ = block.hits(grams)
-            seen.append(np.unique(grams[at]))
-        grams, counts = np.unique(np.concatenate(seen), return_counts=True)
-        yield {"gram": grams.view(np.int64), "documents": counts}
-
-    counts = arrow_map(docs.select("text"), work, "gram long, documents long")
-    return counts.groupBy("gram").agg(F.sum("documents").alias("documents"))
-
-
-def _seeded(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> Iterator[Broadcast]:
-    """Blocks of items with their rare seeds."""
+def _seeded(spark: SparkSession, benchmark: DataFrame, least: float) -> Iterator[Broadcast]:
+    """Blocks of items with their seeds."""
     for rows in _blocks(benchmark):
-        every = spark.sparkContext.broadcast(Items(rows))
-        # one row per n-gram of the block at most
-        counted = gram_frequencies(docs, every).collect()
-        frequency = {r.gram % (1 << 64): r.documents for r in counted}
-        yield spark.sparkContext.broadcast(Items(rows, frequency))
+        yield spark.sparkContext.broadcast(Items(rows, least))
 
 
 def _matches(block: Items, text: str | None, least: float) -> Iterator[tuple]:
@@ -174,7 +196,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> DataFr
     (`start`, `end`, counted as words are cut here)."""
     spark = docs.sparkSession
     parts = []
-    for items in _seeded(spark, docs, benchmark):
+    for items in _seeded(spark, benchmark, least):
 
         def work(rows: dict[str, list], items=items):
             out = [
@@ -208,7 +230,7 @@ def _best_by_item(block: Items, text: str | None, least: float) -> list[tuple]:
 
 def clean(docs: DataFrame, benchmark: DataFrame, least: float = SCORE) -> DataFrame:
     """The rows of `docs` that hold no test item, with all their columns."""
-    for items in _seeded(docs.sparkSession, docs, benchmark):
+    for items in _seeded(docs.sparkSession, benchmark, least):
 
         def keep(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             for batch in batches:

@@ -367,6 +367,55 @@ def test_benchmark_in_blocks(spark, make_docs, monkeypatch):
     assert sorted(map(tuple, decontam.leaks(docs, items).collect()), key=repr) == whole
 
 
+def pairs_by_brute_force(docs, items):
+    """Documents and items whose plain alignment reaches the score, and that score."""
+    score = {
+        (i, k): plain_alignment(decontam.word_hashes(item).tolist(), decontam.word_hashes(text).tolist())
+        for i, text in docs
+        for k, item in items
+        if len(decontam.word_hashes(item)) >= 3
+    }
+    return {pair: x for pair, x in score.items() if x >= decontam.SCORE}
+
+
+@pytest.mark.parametrize("exact_beside", [False, True])
+def test_edited_leaks_against_brute_force(spark, make_docs, exact_beside):
+    random_ = random.Random(6)
+    common = [f"c{k}" for k in range(40)]
+    items = [(k, " ".join(random_.choices([*common, *(f"r{k}_{j}" for j in range(40))], k=20 + k))) for k in range(12)]
+    docs = [(1000 + k, item) for k, item in items] if exact_beside else []
+    for every in range(2, 7):
+        for k, item in items:
+            for at in (0, every - 1):
+                words = item.split()
+                for j in range(at, len(words), every):
+                    words[j] = f"x{j}"
+                around = random_.choices(common, k=60)
+                docs.append((len(docs), " ".join([*around[:30], *words, *around[30:]])))
+    for k, item in items:
+        apart = " ".join(f"{w} y{j}" for j, w in enumerate(item.split()))
+        fewer = " ".join(w for j, w in enumerate(item.split()) if j % 3)
+        docs += [(5000 + k, apart), (6000 + k, fewer)]
+    rows = decontam.leaks(make_docs(docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    truth = pairs_by_brute_force(docs, items)
+    assert len(truth) > 100
+    assert {(r.doc_id, r.item_id): r.score for r in rows} == pytest.approx(truth)
+
+
+def test_seeds_lose_no_alignment():
+    random_ = random.Random(7)
+    found = 0
+    for _ in range(300):
+        few = random_.randint(3, 30)
+        items = [(k, " ".join(f"w{random_.randrange(few)}" for _ in range(random_.randint(1, 14)))) for k in range(4)]
+        docs = [(k, " ".join(f"w{random_.randrange(few)}" for _ in range(random_.randint(0, 50)))) for k in range(4)]
+        block = decontam.Items(items, decontam.SCORE)
+        got = {(i, m[0]): m[1] for i, text in docs for m in decontam._best_by_item(block, text, decontam.SCORE)}
+        assert got == pytest.approx(pairs_by_brute_force(docs, items))
+        found += len(got)
+    assert found > 500
+
+
 def test_op6_finds_every_exact_passage(spark):
     def plain(text):
         return " " + " ".join(re.findall(r"\w+", (text or "").lower())) + " "
