@@ -2,7 +2,7 @@
 
 Tokens are words with A to Z lower-cased, then one end per text. Words and pairs of neighbours are
 counted in Spark over all training documents (`split_mod`). The filter holds, for every word and
-every pair seen `MIN_PAIR` times or more, its count quantised on a log scale: level q means a count
+every pair, its count quantised on a log scale: level q means a count
 of about `BASE` ** (q - 1), and the n-gram is stored once for each level 1 … q. A lookup probes level
 after level until one is missing, so an n-gram costs bits by the logarithm of its count, and counts
 can only come out too large, by the filter's small error.
@@ -38,7 +38,6 @@ from logvane.llm.common import arrow_map, hash_words, mix, stable_bucket
 from logvane.session import stage
 
 SPLIT_MOD = 10
-MIN_PAIR = 2
 BASE = math.sqrt(2)
 PROBES = 6
 BITS_PER_ITEM = 10
@@ -94,12 +93,7 @@ def count_ngrams(training: DataFrame) -> DataFrame:
         }
 
     counted = arrow_map(training.select("text"), work, "gram long, n long", chunk_bytes=6 << 20)
-    single = F.col("gram").bitwiseAND(1) == 0
-    return (
-        counted.groupBy("gram")
-        .agg(F.sum("n").alias("n"))
-        .where(single | (F.col("n") >= MIN_PAIR))
-    )
+    return counted.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def levels(n: np.ndarray) -> np.ndarray:

@@ -222,6 +222,29 @@ def test_base_scores_with_and_without_frequent_words(spark, monkeypatch):
     check_base(scored(spark, LM_TEXTS), LM_TEXTS)
 
 
+def test_pairs_seen_once_count(spark):
+    random_ = random.Random(8)
+    texts = [(k, " ".join(f"w{random_.randrange(150)}" for _ in range(9))) for k in range(120)]
+    words, both = collections.Counter(), collections.Counter()
+    for doc_id, text in texts:
+        if crc(doc_id) % 10:
+            found = lm_tokens(text)
+            words.update(found)
+            both.update(zip([None, *found], found))
+    total, distinct = sum(words.values()), len(words)
+
+    def stored(n):
+        return lm.BASE ** math.floor(math.log(n) / math.log(lm.BASE) + 1e-9) if n else 0
+
+    def log_p(v, w):
+        p = (stored(words[w]) + 0.1) / (total + 0.1 * (distinct + 1))
+        return math.log10((stored(both[v, w]) + lm.MU * p) / (stored(words[v]) + lm.MU))
+
+    assert sum(n == 1 for n in both.values()) > 0.9 * len(both)
+    expected = {k: sum(log_p(v, w) for v, w in zip([None, *lm_tokens(t)], lm_tokens(t))) for k, t in texts}
+    assert {r.doc_id: r.score for r in scored(spark, texts)} == pytest.approx(expected, abs=1e-6)
+
+
 def test_segments_add_up_to_the_whole(spark, monkeypatch):
     one = sorted((repr(r.doc_id), r.n_tokens, round(r.score, 9)) for r in scored(spark, LM_TEXTS))
     monkeypatch.setattr(lm, "SEGMENT_BYTES", 16)
