@@ -335,14 +335,14 @@ def iforest_fit_score(spark, sf):
 @query("gmm_fit_score")
 def gmm_fit_score(spark, sf):
     rows = value_hour(spark, sf)
-    mixture = gmm.fit_mixture(rows, k=3, restarts=2)
+    mixture = gmm.fit_mixture(rows, k=3)
     return gmm.with_log_likelihood(rows, mixture).select("id", ensemble.mixture_score(F.col("log_likelihood")).alias("gmm_score"))
 
 
 @query("gmm_bic")
 def gmm_bic(spark, sf):
     rows = value_hour(spark, sf)
-    return gmm.bic(rows, gmm.fit_mixture(rows, k=3, restarts=1))
+    return gmm.bic(rows, gmm.fit_mixture(rows, k=3))
 
 
 def stored_features(spark, sf):
@@ -367,12 +367,7 @@ def trained(spark, sf):
             stage(stored_features(spark, sf)),
             as_of(),
             "v1",
-            trees=100,
-            components=3,
-            min_rows=100,
-            restarts=1,
-            contamination=0.03,
-            min_samples=20,
+            min_rows=100,  # the smallest tables have fewer than the job's 1 000
         )
     return _models[key]
 

@@ -1,12 +1,14 @@
 """Models against brute force and invariants."""
 
 import datetime as dt
+import inspect
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from checks import models as queries
 from logvane.operators import dbscan, ensemble, gmm, iforest, vectors
 from logvane.plans import training
 from logvane.session import stage
@@ -138,3 +140,34 @@ def test_train_and_evaluate(spark, tmp_path):
     assert r["improvement"]["accuracy_gain"] == pytest.approx(r["test"]["accuracy"] - r["baseline"]["accuracy"])
     assert ensemble.load(spark, str(tmp_path)).version == models.version == "v1"
     assert spark.read.json(str(tmp_path / "reports")).count() == 1
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_queries_train_with_the_settings_of_the_job(spark, monkeypatch):
+    asked = []
+
+    def note(function):
+        def run(*args, **options):
+            bound = inspect.signature(function).bind(*args, **options)
+            bound.apply_defaults()
+            asked.append(bound.arguments)
+            raise InterruptedError
+
+        return run
+
+    def settings(build):
+        with pytest.raises(InterruptedError):
+            build(spark, SF)
+        return asked.pop()
+
+    monkeypatch.setattr(queries, "_models", {})
+    monkeypatch.setattr(ensemble, "train", note(ensemble.train))
+    for build in (queries.retrain_job, queries.score_pipeline):
+        got = settings(build)
+        names = ("trees", "components", "restarts", "contamination", "eps", "min_samples")
+        assert [got[n] for n in names] == [200, 5, 10, 0.05, 2.0, 100]
+    monkeypatch.setattr(gmm, "fit_mixture", note(gmm.fit_mixture))
+    for build in (queries.gmm_fit_score, queries.gmm_bic):
+        assert settings(build)["restarts"] == 10
