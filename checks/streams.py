@@ -131,3 +131,32 @@ def stream_dual_sink(spark, sf):
 def stream_cooldown(spark, sf):
     rows = derived.anomalies(spark, sf).filter("is_anomaly").withColumn("created_at", F.col("created_at").cast("timestamp"))
     return run(state.cooldown_stream(as_stream(rows), 7200))
+
+
+@query("stream_late_rows", "SELECT count(*) AS late_rows FROM events WHERE ts IS NOT NULL")
+def stream_late_rows(spark, sf):
+    """All events after a row of 2034, in files of their own; a watermark drops rows one batch after it moved."""
+    events = derived.read_table(spark, sf, "events").where("ts is not null").select(
+        F.col("event_id").cast("string").alias("log_line"), F.col("event_id").alias("line_id"), F.col("ts").cast("timestamp").alias("timestamp")
+    )
+    path = fresh(spark, "stream-in")
+    end = events.limit(1).withColumn("timestamp", F.lit("2034-01-01").cast("timestamp"))
+    for _ in range(2):
+        end.coalesce(1).write.mode("append").parquet(path)
+    events.repartition(4).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    late = pipeline.LateRows()
+    spark.streams.addListener(late)
+    try:
+        started = (
+            pipeline.without_resent(stream)
+            .writeStream.option("checkpointLocation", fresh(spark, "stream-state"))
+            .format("noop")
+            .trigger(availableNow=True)
+            .start()
+        )
+        started.awaitTermination()
+        found = late.count(started)
+    finally:
+        spark.streams.removeListener(late)
+    return spark.createDataFrame([(found,)], "late_rows long")

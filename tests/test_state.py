@@ -12,6 +12,7 @@ from logvane.operators.keyed_time import (
     session_summary,
     unique_keys_last_hour,
 )
+from logvane.streaming import pipeline
 from logvane.streaming.state import keyed_features_stream
 from pyspark.sql import functions as F
 
@@ -151,3 +152,24 @@ def test_late_rows_keep_their_second_and_absences_show():
     assert memory["last"] == 1200
     assert _step(memory, 1200 + 21_600, False, False, "/a")[3:] == (0, 21_600.0, 0.0)
     assert _step(memory, 1200 + 21_600 + 4000, False, False, "/a", 3600)[4] == 0.0
+
+
+def test_late_rows_of_more_batches_than_recent_progress_keeps(spark, tmp_path):
+    schema = "line_id long, timestamp timestamp, log_line string"
+    days = ["2024-01-02", "2024-01-05", *["2024-01-01"] * 6]
+    for k, day in enumerate(days):
+        row = spark.createDataFrame([(k, dt.datetime.fromisoformat(day), f"line {k}")], schema)
+        row.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    late, kept = pipeline.LateRows(), "spark.sql.streaming.numRecentProgressUpdates"
+    spark.conf.set(kept, "2")
+    spark.streams.addListener(late)
+    try:
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        writer = pipeline.without_resent(stream).writeStream.format("noop").trigger(availableNow=True)
+        query = writer.option("checkpointLocation", str(tmp_path / "state")).start()
+        query.awaitTermination()
+        assert len(query.recentProgress) <= 2
+        assert late.count(query) == 6
+    finally:
+        spark.streams.removeListener(late)
+        spark.conf.unset(kept)
