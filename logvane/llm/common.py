@@ -7,12 +7,18 @@ from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from logvane.operators.prefix import join_same
+from logvane.session import stage
+
 #: The characters between words: space and U+0009 to U+000D. `bytes.split()` cuts at the same six.
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -146,3 +152,43 @@ class Memory:
         back = {k: self.old[k] for k in absent if k in self.old}
         self.young.update(back)
         return [k for k in absent if k not in back]
+
+
+def placed(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Add `idx`, the row's place within its `key` (from 0), and `n`, the key's number of rows.
+
+    Rows are sorted by range, so those of a large key lie in many parts; each part numbers its own
+    rows, and one row per key and part carries the numbers over. Null is a key like any other.
+    `order` should end with a column that parts equal rows where there may be very many of them.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = rows.repartitionByRange(parts, key, *order).sortWithinPartitions(key, *order)
+    schema = ordered.select("*", F.lit(0).alias("_part"), F.lit(0).cast("long").alias("_at")).schema
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        last, seen = object(), 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            runs = pc.run_end_encode(batch.column(batch.schema.get_field_index(key)))
+            ends = np.asarray(runs.run_ends)
+            begins = np.concatenate([[0], ends[:-1]])
+            at = np.arange(batch.num_rows) - np.repeat(begins, ends - begins)
+            if runs.values[0].as_py() == last:
+                at[: ends[0]] += seen
+            last, seen = runs.values[-1].as_py(), int(at[-1]) + 1
+            columns = [*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(at)]
+            yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "_part", "_at"])
+
+    numbered = stage(ordered.mapInArrow(number, schema))
+    counts = numbered.groupBy(key, "_part").agg(F.count("*").alias("_rows"))
+    before = W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = counts.select(
+        key,
+        "_part",
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
+        F.sum("_rows").over(W.partitionBy(key)).alias("n"),
+    )
+    both = join_same(numbered, offsets, [key, "_part"])
+    return both.withColumn("idx", F.col("_at") + F.col("_before")).drop("_part", "_at", "_before")
