@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from checks.registry import ANOMALIES, LINES, query
 from checks.windows import EV, frame_sql, parsed_lines
 from logvane.plans.alerting import risk_decision
 from logvane.session import shared_checkpoint_dir
-from logvane.sources import derived
+from logvane.sources import derived, ingest
 from logvane.streaming import pipeline, state
 
 
@@ -160,3 +161,64 @@ def stream_late_rows(spark, sf):
     finally:
         spark.streams.removeListener(late)
     return spark.createDataFrame([(found,)], "late_rows long")
+
+
+def grow(files, path: str, parts: list[str], first: int, last: int | None = None) -> None:
+    """Append bytes of the written parts, one after the other, to the log at `path`."""
+    ahead = first
+    left = None if last is None else last - first
+    with files.open_append_stream(path) as log:
+        for part in parts:
+            with files.open_input_file(part) as text:
+                skip = min(ahead, text.size())
+                text.seek(skip)
+                ahead -= skip
+                while block := text.read(1 << 20 if left is None else min(left, 1 << 20)):
+                    log.write(block)
+                    left = None if left is None else left - len(block)
+
+
+@query(
+    "tail_lines",
+    f"SELECT CASE source WHEN 'firewall' THEN 'syslog' ELSE source END AS source, log_line, count(*) AS n FROM ({LINES}) GROUP BY ALL",
+)
+def tail_lines(spark, sf):
+    """All lines, written to three logs that grow, are rotated and are truncated between runs of the stream."""
+    folder = fresh(spark, "tailed")
+    written, logs, out, saved = (f"{folder}/{x}" for x in ("parts", "logs", "out", "state"))
+    rounds = F.pmod("line_id", F.lit(5))
+    lines = derived.lines(spark, sf).select("log_line", "source", rounds.alias("round"))
+    lines.write.partitionBy("source", "round").text(written)
+    files, root = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    names = {"auth": "auth.log", "nginx": "nginx/access.log", "firewall": "messages"}
+    files.create_dir(f"{root}/logs/nginx")
+
+    def parts(source: str, at: int) -> list[str]:
+        found = files.get_file_info(pafs.FileSelector(f"{root}/parts/source={source}/round={at}", allow_not_found=True))
+        return sorted(f.path for f in found if f.base_name.startswith("part-"))
+
+    def run_on() -> None:
+        stream = ingest.tail_lines(spark, logs, splitBytes=str(1 << 18)).select("source", "log_line")
+        writer = stream.writeStream.option("checkpointLocation", saved).format("parquet").option("path", out)
+        writer.trigger(availableNow=True).start().awaitTermination()
+
+    for at in range(5):
+        for source, name in names.items():
+            log = f"{root}/logs/{name}"
+            if at == 2:  # renamed with nothing unread; the next round goes to a new file
+                files.move(log, f"{log}.1")
+            if at == 4 and source == "auth":  # copied away and truncated
+                files.copy_file(log, f"{log}-20240131")
+                files.open_output_stream(log).close()
+            half = sum(f.size for f in files.get_file_info(parts(source, at))) // 2
+            grow(files, log, parts(source, at), 0, half)
+            if at != 1:  # in the second round the stream stops inside a line
+                grow(files, log, parts(source, at), half)
+        run_on()
+        if at == 1:
+            for source, name in names.items():
+                half = sum(f.size for f in files.get_file_info(parts(source, at))) // 2
+                grow(files, f"{root}/logs/{name}", parts(source, at), half)
+    run_on()
+    found = spark.read.schema("source string, log_line string").parquet(out)
+    return found.groupBy("source", "log_line").agg(F.count("*").alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from logvane.functions.rules import first_match, is_in, quote
 from logvane.functions.scalar import event_id
+from logvane.sources.tail import LogTail
 
 # --- fixed values ---
 MAX_LINE = 10_000
@@ -43,13 +44,25 @@ def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def watch_lines(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """New files under `path` as a stream; the poll interval is the query's trigger."""
+    """New files under `path` as a stream, each read once; `tail_lines` follows files that grow."""
     reader = spark.readStream.schema("value string").format("text")
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return _with_source(reader.load(path))
 
 
+def tail_lines(spark: SparkSession, path: str, max_bytes: int | None = None, **options: str) -> DataFrame:
+    """Lines as they are appended to the logs below `path`, through rotation and truncation."""
+    spark.dataSource.register(LogTail)
+    reader = spark.readStream.format(LogTail.name()).options(**options)
+    if max_bytes:
+        reader = reader.option("maxBytesPerTrigger", str(max_bytes))
+    tailed = reader.load(path)
+    return tailed.select(
+        F.col("value").alias("log_line"), source_of_path("path").alias("source"), "path", "position"
+    )
+
+
 def unpack_envelopes(df: DataFrame, body: str = "body") -> DataFrame:
     """JSON bodies, one line or a list under `logs`, to one row per line."""
     layout = f"{ENVELOPE}, logs array<struct<{ENVELOPE.replace(' string', ':string').replace(' map', ':map')}>>"
