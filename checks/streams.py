@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
+from functools import reduce
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from checks.models import trained
 from checks.parsing import now
-from checks.registry import ANOMALIES, LINES, query
-from checks.windows import EV, frame_sql, parsed_lines
+from checks.registry import ANOMALIES, AS_OF, LINES, query
+from checks.windows import EV, ev, pairs, parsed_lines
+from logvane.operators.keyed_time import KEYED_FEATURES
+from logvane.plans import history
 from logvane.plans.alerting import risk_decision
 from logvane.session import shared_checkpoint_dir
 from logvane.sources import derived, ingest
+from logvane.sources.store import Store
 from logvane.streaming import pipeline, state
 
 
@@ -94,10 +100,68 @@ def stream_sessions(spark, sf):
     return found.select("source_ip", F.unix_seconds("session_start").alias("started"), F.unix_seconds("session_end").alias("ended"), "events")
 
 
-@query("stream_exact_features", frame_sql("extended"))
+def state_sql(rule: str) -> str:
+    """All six features of an address, each event against all earlier ones of the address."""
+    return f"""WITH {ev(rule)}, g AS (SELECT *, sec - lag(sec) OVER w AS idle FROM ev WINDOW w AS (PARTITION BY source_ip ORDER BY sec, line_id)),
+ s AS (SELECT *, sum(CASE WHEN idle >= 1800 THEN 1 ELSE 0 END) OVER w AS half, sum(CASE WHEN idle >= 3600 THEN 1 ELSE 0 END) OVER w AS whole FROM g WINDOW w AS (PARTITION BY source_ip ORDER BY sec, line_id)),
+ o AS (SELECT line_id, CAST(coalesce(idle, 0) AS DOUBLE) AS time_since_last_activity_sec, CAST(sec - min(sec) OVER (PARTITION BY source_ip, half) AS DOUBLE) AS session_duration_sec FROM s),
+ e AS (SELECT e.line_id, count(DISTINCT p.endpoint) AS unique_endpoints_accessed FROM s e LEFT JOIN s p ON p.source_ip = e.source_ip AND p.whole = e.whole AND (p.sec < e.sec OR (p.sec = e.sec AND p.line_id < e.line_id)) GROUP BY e.line_id),
+ r AS (SELECT e.line_id, count(DISTINCT CASE WHEN p.is_auth AND p.sec >= e.sec - 60 THEN p.sec END)::DOUBLE AS login_attempts_per_minute, round(count(DISTINCT CASE WHEN p.sec >= e.sec - 60 THEN p.sec END) / 60.0::DOUBLE, 9) AS requests_per_second,
+  coalesce(round(count(DISTINCT CASE WHEN p.is_auth AND NOT p.success THEN p.sec END) / nullif(count(DISTINCT CASE WHEN p.is_auth THEN p.sec END), 0), 9), 0) AS failed_auth_rate {pairs(300)} GROUP BY e.line_id)
+ SELECT * FROM r JOIN e USING (line_id) JOIN o USING (line_id)"""
+
+
+def in_files(rows: DataFrame, ts: str, late: Column | None = None, files: int = 4) -> tuple[str, DataFrame]:
+    """Rows by time in several files, one micro-batch each; `late` rows of a file's last 500 seconds come one later."""
+    spark = rows.sparkSession
+    path = fresh(spark, "stream-in")
+    steps = ", ".join(f"{k / files}D" for k in range(1, files))
+    bounds = rows.select(F.expr(f"percentile_approx(unix_seconds({ts}), array({steps}))")).first()[0]
+    sec = F.unix_seconds(ts)
+    at = sum(F.when(sec > b, 1).otherwise(0) for b in bounds)
+    if late is not None:
+        at += sum(F.when(late & (sec <= b) & (sec > b - 500), 1).otherwise(0) for b in bounds)
+    placed = rows.withColumn("_file", at)
+    for k in range(files):  # a stream of files reads them by the time of writing
+        placed.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(path)
+    return path, spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def late_stream(events: DataFrame, ts: str = "timestamp") -> DataFrame:
+    """Every seventh row may come one micro-batch late, within the watermark's delay; a closing row ends the stream."""
+    path, stream = in_files(events, ts, F.col("line_id") % 7 == 0)
+    end = events.limit(1).withColumn(ts, F.lit("2034-01-01").cast("timestamp"))
+    end.coalesce(1).write.mode("append").parquet(path)
+    return stream
+
+
+EVENT_COLUMNS = ("line_id", "timestamp", "source_ip", "event_type", "success", "endpoint")
+
+
+@query("stream_exact_features", state_sql("extended"))
 def stream_exact_features(spark, sf):
-    found = run(state.keyed_features_stream(parsed_stream(spark, sf), auth_rule="extended"))
-    return found.select("line_id", "login_attempts_per_minute", F.round("failed_auth_rate", 9).alias("failed_auth_rate"))
+    """Five micro-batches, rows late by one of them, gaps of more than an hour, the default delay."""
+    events = parsed_lines(spark, sf).select(*EVENT_COLUMNS)
+    found = run(state.keyed_features_stream(late_stream(events), auth_rule="extended")).where("timestamp < TIMESTAMP '2030-01-01'")
+    rounded = {c: F.round(c, 9) for c in ("requests_per_second", "failed_auth_rate")}
+    return found.withColumns(rounded).select("line_id", *KEYED_FEATURES)
+
+
+@query(
+    "stream_session_store",
+    """SELECT id, source_ip, session_id, session_data, coalesce(sec < lag(sec) OVER (PARTITION BY source_ip, session_id ORDER BY sec, id) + 3600, false) AS already_live FROM
+ (SELECT event_id AS id, '10.0.' || CAST(user_id % 2 AS VARCHAR) || '.' || CAST(user_id % 8 AS VARCHAR) AS source_ip, 'user' || CAST(user_id % 40 AS VARCHAR) AS session_id, event_type AS session_data, CAST(floor(epoch(ts)) AS BIGINT) AS sec FROM events)""",
+)
+def stream_session_store(spark, sf):
+    """Puts by time, in several micro-batches."""
+    puts = derived.read_table(spark, sf, "events").select(
+        F.col("event_id").alias("id"),
+        F.expr("'10.0.' || cast(user_id % 2 as string) || '.' || cast(user_id % 8 as string)").alias("source_ip"),
+        F.expr("'user' || cast(user_id % 40 as string)").alias("session_id"),
+        F.col("event_type").alias("session_data"),
+        F.col("ts").cast("timestamp").alias("stored_at"),
+    )
+    return run(state.session_store(in_files(puts, "stored_at")[1]))
 
 
 @query("stream_dedup", f"SELECT line_id, source FROM ({LINES})")
@@ -107,20 +171,76 @@ def stream_dedup(spark, sf):
     return run(pipeline.without_resent(as_stream(twice))).select("line_id", "source")
 
 
-def score_batch(batch: DataFrame) -> DataFrame:
-    return batch.drop("is_anomaly", "risk_level").withColumn("_d", risk_decision()).select("id", "risk_score", "_d.risk_level", "_d.is_anomaly")
+ROWS = "id long, created_at timestamp, source_ip string, username string, event_type string, risk_score double, risk_level string, is_anomaly boolean"
+
+
+def stored_anomalies(spark, sf) -> DataFrame:
+    found = derived.anomalies(spark, sf)
+    return found.select("id", F.col("created_at").cast("timestamp").alias("created_at"), "source_ip", "username", "event_type", "risk_score", "risk_level", "is_anomaly")
+
+
+def score_batch(batch: DataFrame, _: int) -> DataFrame:
+    found = batch.drop("is_anomaly", "risk_level").withColumn("_d", risk_decision())
+    return found.select("id", "created_at", "source_ip", "username", "event_type", "risk_score", "_d.risk_level", "_d.is_anomaly")
+
+
+def stores(spark):
+    """Empty tables of logs and of anomalies."""
+    return [Store(spark, fresh(spark, name), ROWS) for name in ("logs", "anomalies")]
 
 
-@query("stream_dual_sink", f"SELECT 'logs' AS name, count(*) AS n, round(sum(risk_score), 4) AS total FROM ({ANOMALIES}) UNION ALL SELECT 'anomalies', count(*), round(sum(risk_score), 4) FROM ({ANOMALIES}) WHERE is_anomaly")
+@query(
+    "stream_dual_sink",
+    f"""WITH s AS (SELECT id, created_at, source_ip, username, event_type, risk_score, CAST(created_at AS DATE) AS event_date, is_anomaly, risk_level FROM ({ANOMALIES}))
+ SELECT 'logs' AS name, * FROM s UNION ALL SELECT 'anomalies', * FROM s WHERE is_anomaly""",
+)
 def stream_dual_sink(spark, sf):
-    logs, found = fresh(spark, "logs"), fresh(spark, "anomalies")
-    writer = pipeline.store_both(as_stream(derived.anomalies(spark, sf)), score_batch, logs, found, fresh(spark, "state"))
-    writer.trigger(availableNow=True).start().awaitTermination()
+    """Every row of both tables, as several micro-batches have stored them."""
+    logs, found = stores(spark)
+    stream = in_files(stored_anomalies(spark, sf), "created_at")[1]
+    pipeline.store_both(stream, score_batch, logs, found, fresh(spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    both = [store.read().select(F.lit(name).alias("name"), "*") for name, store in (("logs", logs), ("anomalies", found))]
+    return both[0].unionByName(both[1]).withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
 
-    def total(name, path):
-        return spark.read.parquet(path).agg(F.lit(name).alias("name"), F.count("*").alias("n"), F.round(F.sum("risk_score"), 4).alias("total"))
 
-    return total("logs", logs).unionByName(total("anomalies", found))
+CHANGED = "CASE WHEN id % 11 = 0 THEN 0.99 ELSE risk_score END"
+
+
+@query(
+    "store_and_read",
+    f"""WITH s AS (SELECT id, created_at, source_ip, is_anomaly, CASE WHEN created_at >= TIMESTAMP '2024-01-20' THEN {CHANGED} ELSE risk_score END AS risk_score FROM ({ANOMALIES}) WHERE created_at >= TIMESTAMP '2024-01-03'),
+ page AS (SELECT id, risk_score FROM s WHERE created_at >= {AS_OF} - INTERVAL 48 HOUR ORDER BY created_at DESC, id DESC LIMIT 20)
+ SELECT 'series' AS part, date_trunc('hour', created_at)::VARCHAR AS item, count(*) AS n, round(sum(risk_score), 4) AS total FROM s GROUP BY ALL
+ UNION ALL SELECT 'page', id::VARCHAR, 1, round(risk_score, 4) FROM page
+ UNION ALL SELECT 'pull', '', count(*), round(sum(risk_score), 4) FROM s WHERE risk_score <= 0.6 AND created_at >= {AS_OF} - INTERVAL 10 DAY
+ UNION ALL SELECT 'address', source_ip, count(*), round(sum(risk_score), 4) FROM s WHERE created_at >= {AS_OF} - INTERVAL 5 DAY GROUP BY source_ip""",
+)
+def store_and_read(spark, sf):
+    """Half of the rows stored by a stream, half as a batch that is repeated; then compacted, updated, pruned, read."""
+    rows = stored_anomalies(spark, sf)
+    logs, found = stores(spark)
+    stream = in_files(rows.where("id % 2 = 0"), "created_at")[1]
+    pipeline.store_both(stream, score_batch, logs, found, fresh(spark, "state")).trigger(availableNow=True).start().awaitTermination()
+    for _ in range(2):
+        logs.write(rows.where("id % 2 = 1"), "by hand")
+    logs.compact()
+    changes = logs.read().where("id % 11 = 0 AND created_at >= TIMESTAMP '2024-01-20'")
+    logs.update(changes.select("id", F.lit(0.99).alias("risk_score")))
+    logs.prune(dt.date(2024, 1, 31), 28)
+    stored = logs.read()
+    as_of = F.lit(derived.AS_OF).cast("timestamp")
+    total = [F.count("*").alias("n"), F.round(F.sum("risk_score"), 4).alias("total")]
+    hour = F.date_format(F.date_trunc("hour", "created_at"), "yyyy-MM-dd HH:mm:ss")
+    page = history.logs_page(stored, as_of, 20, hours=48)
+    pull = history.training_pull(stored, as_of, days=10, min_samples=1)
+    recent = history.since(stored, as_of, 120)
+    parts = [
+        stored.groupBy(hour.alias("item")).agg(*total).select(F.lit("series").alias("part"), "*"),
+        page.select(F.lit("page").alias("part"), F.col("id").cast("string").alias("item"), F.lit(1).cast("long").alias("n"), F.round("risk_score", 4).alias("total")),
+        pull.agg(*total).select(F.lit("pull").alias("part"), F.lit("").alias("item"), "*"),
+        recent.groupBy("source_ip").agg(*total).select(F.lit("address").alias("part"), F.col("source_ip").alias("item"), "n", "total"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(
@@ -222,3 +342,31 @@ def tail_lines(spark, sf):
     run_on()
     found = spark.read.schema("source string, log_line string").parquet(out)
     return found.groupBy("source", "log_line").agg(F.count("*").alias("n"))
+
+
+CLOSING_LINE = '10.0.0.1 - - [01/Jan/2034:00:00:00 +0000] "GET / HTTP/1.1" 200 5 "-" "-"'
+
+
+def scored_stream(spark, sf, models) -> tuple[Store, Store]:
+    """All lines by time in several micro-batches, some of them late; a line of 2034 ends the stream."""
+    times = parsed_lines(spark, sf).select("line_id", "timestamp")
+    lines = derived.lines(spark, sf).join(times, "line_id")
+    path, stream = in_files(lines, "timestamp", F.col("line_id") % 7 == 0)
+    end = lines.limit(1).select(
+        F.lit(-1).cast("long").alias("line_id"), F.lit("nginx").alias("source"), F.lit(CLOSING_LINE).alias("log_line"), "timestamp"
+    )
+    end.coalesce(1).write.mode("append").parquet(path)
+    folder, created = fresh(spark, "scored"), F.lit(derived.AS_OF).cast("timestamp")
+    writer = pipeline.score_stream(
+        stream.drop("timestamp"), models, folder, fresh(spark, "stream-state"), created, now(), F.lit(2024), auth_rule="extended"
+    )
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return Store(spark, f"{folder}/logs"), Store(spark, f"{folder}/anomalies")
+
+
+@query("stream_score")
+def stream_score(spark, sf):
+    """The rows that `score_pipeline` gives, from a stream: the stored logs, and what the anomalies add."""
+    logs, anomalies = scored_stream(spark, sf, trained(spark, sf))
+    found = anomalies.read().select("id", "risk_level", "confidence", "recommended_action", F.array_join("reasons", "; ").alias("reasons"))
+    return logs.read().select("id", "source_ip", "event_type", "risk_score", "parsed_fields").join(found, "id", "left")

@@ -8,8 +8,6 @@ task sees more than one key's week of distinct seconds, or one key's list of wee
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -93,17 +91,3 @@ def cooldown(
     )
     firsts = join_same(seconds, sent, [*keys, "_sec"]).select(*keys, "_sec", F.col("_first").alias(row_id))
     return join_same(numbered, firsts, [*keys, "_sec", row_id], "left_semi").drop("_sec")
-
-
-def batches_cooled(
-    frames: Iterator[pd.DataFrame], last_sent: int | None, wait_sec: int
-) -> tuple[pd.DataFrame, int | None]:
-    """The same rule for one key of a stream: rows to send, and the new last second sent."""
-    rows = pd.concat(list(frames)).sort_values(["sec", "id"])
-    keep = []
-    for sec in rows["sec"]:
-        send = last_sent is None or sec >= last_sent + wait_sec
-        keep.append(send)
-        if send:
-            last_sent = int(sec)
-    return rows[keep], last_sent

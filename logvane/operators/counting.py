@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logvane.operators.prefix import join_same, running_totals
+from logvane.plans.history import within
 
 
 def _seconds(ts: str) -> Column:
@@ -90,6 +91,11 @@ def related_logs_of(
         F.col("username").alias("_user"),
     )
     close = F.abs(_seconds(ts) - _seconds("_at")) <= within_sec
+    # the days and times around all asked ones, as scalars: logs laid out by day read only those
+    reach = F.expr(f"INTERVAL {int(within_sec) + 1} SECONDS")
+    first = asked.agg(F.min("_at") - reach).scalar()
+    last = asked.agg(F.max("_at") + reach).scalar()
+    logs = within(logs, first, last, ts)
     by_ip = logs.join(asked, logs["source_ip"] == asked["_ip"]).filter(close)
     by_user = logs.join(asked, logs["username"] == asked["_user"]).filter(close)
     return (

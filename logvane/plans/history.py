@@ -9,8 +9,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def within(df: DataFrame, start: Column, end: Column | None = None, ts: str = "created_at") -> DataFrame:
+    """Rows from `start` to `end`. A table laid out by the day of `created_at` reads only those days."""
+    fits = F.col(ts) >= start if end is None else F.col(ts).between(start, end)
+    if ts == "created_at" and "event_date" in df.columns:
+        fits &= F.col("event_date") >= F.to_date(start)
+        if end is not None:
+            fits &= F.col("event_date") <= F.to_date(end)
+    return df.filter(fits)
+
+
 def since(df: DataFrame, as_of: Column, hours: int, ts: str = "created_at") -> DataFrame:
-    return df.filter(F.col(ts) >= as_of - F.expr(f"INTERVAL {int(hours)} HOURS"))
+    return within(df, as_of - F.expr(f"INTERVAL {int(hours)} HOURS"), None, ts)
 
 
 def _newest(df: DataFrame, limit: int, offset: int, ts: str) -> DataFrame:

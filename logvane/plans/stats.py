@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from logvane.operators.prefix import join_same, running_totals
-from logvane.plans.history import since
+from logvane.plans.history import since, within
 
 TOP = 10
 
@@ -69,7 +69,7 @@ def batch_summary(scored: DataFrame) -> DataFrame:
 
 def hourly_counts(df: DataFrame, start: Column, end: Column, ts: str = "created_at") -> DataFrame:
     return (
-        df.filter(F.col(ts).between(start, end))
+        within(df, start, end, ts)
         .groupBy(F.date_trunc("hour", ts).alias("hour"))
         .agg(F.count("*").alias("n"))
     )

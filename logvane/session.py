@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 # HotSpot never compiles a method longer than this; beyond it Spark's split, per-operator
 # code is faster than one fused but interpreted method
 HOTSPOT_METHOD_LIMIT = "8000"
+#: The store that streams with state of their own need.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def build_session(app_name: str = "logvane", master: str | None = None, **conf: str) -> SparkSession:
@@ -23,6 +25,7 @@ def build_session(app_name: str = "logvane", master: str | None = None, **conf:
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.codegen.hugeMethodLimit", HOTSPOT_METHOD_LIMIT)
+        .config("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     )
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
@@ -35,6 +38,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Pin the settings results and parsing speed depend on in a session made elsewhere."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", HOTSPOT_METHOD_LIMIT)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     return spark
 
 

@@ -15,27 +15,28 @@ IP = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
 RETENTION_DAYS = 90
 
 
-def append(df: DataFrame, path: str, ts: str = "log_timestamp") -> None:
-    """Append to a zstd Parquet table with one folder per event date, ordered by address."""
-    dated = df.withColumn("event_date", F.to_date(ts))
+def append(df: DataFrame, path: str, ts: str | None = None) -> None:
+    """Append to a zstd Parquet table with one folder per day of `ts`, ordered by address.
+
+    The day is that of `created_at`, by which history is asked, or of `log_timestamp` where rows have
+    no such column. Rows are dealt to tasks by day first, so a day gets few files. Repeated batches,
+    updates and compaction are the business of `store.Store`.
+    """
+    day = ts or ("created_at" if "created_at" in df.columns else "log_timestamp")
+    dated = df.withColumn("event_date", F.to_date(day)).hint("rebalance", "event_date")
     if "source_ip" in df.columns:
         dated = dated.sortWithinPartitions("event_date", "source_ip")
     dated.write.mode("append").option("compression", "zstd").partitionBy("event_date").parquet(path)
 
 
-def append_logs(scored: DataFrame, path: str, ts: str = "log_timestamp") -> None:
+def append_logs(scored: DataFrame, path: str, ts: str | None = None) -> None:
     append(scored, path, ts)
 
 
-def append_anomalies(scored: DataFrame, path: str, ts: str = "log_timestamp") -> None:
+def append_anomalies(scored: DataFrame, path: str, ts: str | None = None) -> None:
     append(scored.filter("is_anomaly"), path, ts)
 
 
-def append_rows(df: DataFrame, path: str) -> None:
-    """Append feedback or alert rows."""
-    df.write.mode("append").option("compression", "zstd").parquet(path)
-
-
 def fields_as_json(columns: list[str]) -> Column:
     """The named columns as one JSON text; times in ISO form."""
     return F.to_json(F.struct(*columns))
