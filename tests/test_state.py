@@ -1,7 +1,6 @@
 """State features against a plain simulation, in batch and as a stream."""
 
 import datetime as dt
-import json
 import random
 
 import pytest
@@ -82,22 +81,58 @@ def test_batch_equals_simulation(spark, seed):
         assert tuple(r[1:]) == pytest.approx(expected[r["line_id"]]), r["line_id"]
 
 
+def streamed(spark, folder, batches, **options):
+    """Features of a stream that gets these rows, one list per micro-batch, and then a row of long after."""
+    last = max(r[1] for rows in batches for r in rows)
+    for rows in [*batches, [(-1, last + 90_000, "closing", "http_request", True, "/")]]:
+        frame(spark, rows).coalesce(1).write.mode("append").parquet(str(folder / "in"))
+    schema = frame(spark, batches[0]).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(folder / "in"))
+    writer = keyed_features_stream(stream, **options).writeStream.outputMode("append")
+    writer = writer.option("checkpointLocation", str(folder / "state")).trigger(availableNow=True)
+    writer.format("parquet").option("path", str(folder / "out")).start().awaitTermination()
+    found = spark.read.parquet(str(folder / "out")).collect()
+    return {r["line_id"]: tuple(r[n] for n in KEYED_FEATURES) for r in found}
+
+
 def test_stream_equals_simulation(spark, tmp_path):
+    """Three micro-batches; rows of the last ten minutes of each may come with the next, in any order."""
     rows = make_events(4)
-    ordered = sorted(rows, key=lambda r: (r[1], r[0]))
-    for part in range(3):
-        chunk = ordered[part * 200 : (part + 1) * 200]
-        frame(spark, chunk).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    schema = frame(spark, rows).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    writer = keyed_features_stream(stream).writeStream.outputMode("append")
-    writer = writer.option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True)
-    writer.format("parquet").option("path", str(tmp_path / "out")).start().awaitTermination()
-    found = spark.read.parquet(str(tmp_path / "out")).collect()
-    expected = simulate(rows)
+    ordered, draw = sorted(rows, key=lambda r: (r[1], r[0])), random.Random(9)
+    batches = [ordered[k * 200 : (k + 1) * 200] for k in range(3)]
+    for before, after in zip(batches, batches[1:]):
+        late = [r for r in before if r[1] > before[-1][1] - 500 and r is not before[-1] and draw.random() < 0.5]
+        before[:] = [r for r in before if r not in late]
+        after += late
+    for batch in batches:
+        draw.shuffle(batch)
+    found, expected = streamed(spark, tmp_path, batches), simulate(rows)
     assert len(found) == len(rows)
-    for r in found:
-        assert tuple(r[n] for n in KEYED_FEATURES) == pytest.approx(expected[r["line_id"]])
+    for i, features in found.items():
+        assert features == pytest.approx(expected[i]), i
+
+
+def test_late_rows_see_what_was_before_them(spark, tmp_path):
+    """A row of second 500 that comes after one of 1 000 is idle since 100, and knows no endpoint of 1 000."""
+    def row(i, sec, endpoint):
+        return (i, START + sec, "1.1.1.1", "http_request", True, endpoint)
+
+    batches = [[row(1, 100, "/a"), row(2, 1000, "/b")], [row(3, 500, "/c"), row(4, 1010, "/a")]]
+    found = streamed(spark, tmp_path, batches)
+    assert [found[i][4] for i in (1, 2, 3, 4)] == [0.0, 500.0, 400.0, 10.0]
+    assert [found[i][3] for i in (1, 2, 3, 4)] == [0, 2, 1, 3]
+
+
+def test_absences_show_unless_the_address_expires(spark, tmp_path):
+    def row(i, sec):
+        return (i, START + sec, None, "http_request", True, "/a")
+
+    batches = [[row(1, 0)], [row(2, 21_600)], [row(3, 25_000)], [row(4, 28_600)]]
+    (tmp_path / "a").mkdir(), (tmp_path / "b").mkdir()
+    kept = streamed(spark, tmp_path / "a", batches)
+    assert [kept[i][3:] for i in (2, 3, 4)] == [(0, 21_600.0, 0.0), (1, 3400.0, 0.0), (0, 3600.0, 0.0)]
+    gone = streamed(spark, tmp_path / "b", batches, activity_ttl_sec=3600)
+    assert [gone[i][3:] for i in (2, 3, 4)] == [(0, 0.0, 0.0), (1, 3400.0, 0.0), (0, 0.0, 0.0)]
 
 
 def test_no_window_over_a_whole_address(spark):
@@ -140,20 +175,6 @@ def test_session_summary(spark):
     assert got == expected
 
 
-def test_late_rows_keep_their_second_and_absences_show():
-    from logvane.streaming.state import EMPTY, _step
-
-    memory = json.loads(EMPTY) | {"endpoints": set()}
-    first = _step(memory, 1000, False, False, "/a")
-    newest = _step(memory, 1200, True, True, "/b")
-    late = _step(memory, 1030, False, False, "/c")
-    assert first[4:] == (0.0, 0.0) and newest[4:] == (200.0, 200.0)
-    assert late == (0.0, 1 / 60, 0.0, 2, 30.0, 30.0)
-    assert memory["last"] == 1200
-    assert _step(memory, 1200 + 21_600, False, False, "/a")[3:] == (0, 21_600.0, 0.0)
-    assert _step(memory, 1200 + 21_600 + 4000, False, False, "/a", 3600)[4] == 0.0
-
-
 def test_late_rows_of_more_batches_than_recent_progress_keeps(spark, tmp_path):
     schema = "line_id long, timestamp timestamp, log_line string"
     days = ["2024-01-02", "2024-01-05", *["2024-01-01"] * 6]
