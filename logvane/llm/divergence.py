@@ -1,11 +1,10 @@
 """How far the sources of each language differ in their words: an audit by inverted index.
 
-The index is built in a single pass. A task counts terms in memory, as postings (language, term,
-source, count) with the language's own total and number of documents per term. Once the block
-holds `BLOCK_POSTINGS` of them it is sorted by term and spilled as a run, cut by hash into shards
-and those into parts. Per shard the runs are heap-merged, each read part by part, at most `FAN_IN`
-at a time (more runs: another round). Terms in too few documents are dropped when their total is
-known, which the merge order puts first. Counts then become exact shares, and pairs of sources of
+The index is built in a single pass. A task takes texts in until they fill `BLOCK_BYTES`, makes the
+block's postings (term, language, source, count, with the language's own total and number of documents
+per term) and spills them as a run, sorted by term, cut by hash into shards and those into parts. Per
+shard the runs are heap-merged, each read part by part, at most `FAN_IN` at a time (more runs: another
+round). A term in too few documents is dropped there. Counts then become exact shares, and pairs of sources of
 one language get their sum over all kept terms as: what two sources without any term would differ
 by, corrected once per count of either source, corrected once more per term that both have. Only the
 last of these meets postings; they are streamed, and each task adds pairs up in memory.
@@ -22,14 +21,15 @@ stand there. An empty table gives no rows. Other columns are not read, whatever
 from __future__ import annotations
 
 import heapq
+import json
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from itertools import groupby
 from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -42,11 +42,13 @@ from logvane.session import stage
 FEWEST_DOCUMENTS = 10
 SHARE = 1_000_000_000
 TOP_TERMS = 10
-#: Postings a task holds before it spills a run.
-BLOCK_POSTINGS = 400_000
+#: Bytes of text whose postings a task holds before it spills a run.
+BLOCK_BYTES = 12 << 20
 #: Postings of one part of a run, and runs that are merged at once: what a merge holds in memory.
-PART_POSTINGS = 2_000
-FAN_IN = 128
+PART_POSTINGS = 8_000
+FAN_IN = 256
+#: Terms that a merge passes on at once.
+MERGED_TERMS = 4_096
 #: Sources of a language that are paired in one go.
 SOURCES = 1024
 #: Tasks that share the pairs of one language.
@@ -60,103 +62,128 @@ _TERMS = bytes(
 )
 
 
-def terms(text: str) -> list[bytes]:
-    """Runs of letters A-Z, a-z and characters beyond ASCII, only A-Z lower-cased."""
-    return text.encode().translate(_TERMS).split()
+def terms(text: str) -> bytes:
+    """Runs of letters A-Z, a-z and characters beyond ASCII, only A-Z lower-cased, with spaces between."""
+    return text.encode().translate(_TERMS)
 
 
-# A posting is (term, lang, kind, source, count, documents). Kind 0 is the language's own total,
-# which sorts ahead of its sources (kind 1, documents 0). Text is kept as UTF-8 bytes.
-_KEY = itemgetter(0, 1, 2, 3)
-RUNS = "shard int, run string, part int, first binary, term binary, lang binary, kind binary, source binary, counts binary"
+class Postings:
+    """Terms in order; per term its languages with documents and occurrences, and its groups with occurrences.
 
+    `lang_ends` and `group_ends` say where a term's entries end. Languages are ids into `langs`, groups
+    ids into `groups`, a list of (language, source).
+    """
 
-class Block:
-    """Postings of the documents met so far."""
+    def __init__(self, names, langs, groups, lang_ends, lang, documents, totals, group_ends, group, counts):  # noqa: ANN001
+        self.names, self.langs, self.groups = names, langs, groups
+        self.lang_ends, self.lang, self.documents, self.totals = lang_ends, lang, documents, totals
+        self.group_ends, self.group, self.counts = group_ends, group, counts
+
+    def pick(self, at: np.ndarray) -> Postings:
+        """The terms at these places, in this order."""
+        lang_ends, i = _ranges(self.lang_ends, at)
+        group_ends, j = _ranges(self.group_ends, at)
+        return Postings(
+            self.names.take(pa.array(at)), self.langs, self.groups, lang_ends, self.lang[i], self.documents[i],
+            self.totals[i], group_ends, self.group[j], self.counts[j],
+        )
+
+
+def _ranges(ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ends and places of the entries of the terms at `at`; `ends` begins with a 0."""
+    begins, size = ends[at], ends[at + 1] - ends[at]
+    new = np.concatenate([[0], np.cumsum(size)])
+    return new, np.repeat(begins - new[:-1], size) + np.arange(new[-1])
+
+
+def _ends(term: np.ndarray, n: int) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.bincount(term, minlength=n))]).astype(np.int64)
+
+
+def _block(rows: list[tuple[str, str, bytes]]) -> Postings | None:
+    """Postings of some documents (language, source, terms); None if they have no term."""
+    langs = {g: i for i, g in enumerate(dict.fromkeys(g for g, _, _ in rows))}
+    groups = {k: i for i, k in enumerate(dict.fromkeys((g, s) for g, s, _ in rows))}
+    text = np.frombuffer(b" ".join([b"", *[t for *_, t in rows], b""]), np.uint8)
+    inside = text != 32
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    begins, ends = edges[0::2], edges[1::2]
+    if not len(begins):
+        return None
+    offsets = np.concatenate([[0], np.cumsum(ends - begins)]).astype(np.int32)
+    words = pa.Array.from_buffers(
+        pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(text[inside])]
+    ).dictionary_encode()
+    order = pc.array_sort_indices(words.dictionary)
+    rank = np.empty(len(order), np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    term = rank[words.indices.to_numpy()]
+    starts = np.cumsum([1] + [len(t) + 1 for *_, t in rows[:-1]])
+    document = np.searchsorted(starts, begins, side="right") - 1
+    lang_of = np.array([langs[g] for g, *_ in rows])
+    group_of = np.array([groups[g, s] for g, s, _ in rows])
+    n = len(rank)
+    found, counts = np.unique(term * len(groups) + group_of[document], return_counts=True)
+    spoken, totals = np.unique(term * len(langs) + lang_of[document], return_counts=True)
+    once = np.unique(term * len(rows) + document)
+    _, documents = np.unique(once // len(rows) * len(langs) + lang_of[once % len(rows)], return_counts=True)
+    return Postings(
+        words.dictionary.take(order), list(langs), list(groups),
+        _ends(spoken // len(langs), n), spoken % len(langs), documents, totals,
+        _ends(found // len(groups), n), found % len(groups), counts,
+    )
 
-    def __init__(self) -> None:
-        self.counts: dict[tuple[bytes, bytes], Counter] = {}
-        self.documents: dict[bytes, Counter] = {}
-        self.size = 0
-
-    def add(self, lang: bytes, source: bytes, words: list[bytes]) -> None:
-        for counter, found in (
-            (self.counts.setdefault((lang, source), Counter()), words),
-            (self.documents.setdefault(lang, Counter()), set(words)),
-        ):
-            before = len(counter)
-            counter.update(found)
-            self.size += len(counter) - before
-
-    def postings(self) -> list[tuple]:
-        """All postings, sorted by term."""
-        totals: dict[bytes, Counter] = {}
-        out = []
-        for (lang, source), counter in self.counts.items():
-            total = totals.setdefault(lang, Counter())
-            for term, n in counter.items():
-                total[term] += n
-                out.append((term, lang, 1, source, n, 0))
-        for lang, counter in self.documents.items():
-            total = totals[lang]
-            out += [(term, lang, 0, b"", total[term], n) for term, n in counter.items()]
-        out.sort(key=_KEY)
-        return out
-
-
-def _pack(strings: list[bytes]) -> bytes:
-    ends = np.cumsum(np.fromiter(map(len, strings), np.int64, len(strings))).astype("<i8")
-    return zlib.compress(ends.tobytes() + b"".join(strings), 1)
-
-
-def _unpack(data: bytes, n: int) -> list[bytes]:
-    data = zlib.decompress(data)
-    ends = np.frombuffer(data, "<i8", n).tolist()
-    text = data[8 * n :]
-    return [text[a:b] for a, b in zip([0, *ends], ends)]
-
-
-def _parts(shard: int, run: str, part: int, postings: list[tuple]) -> dict:
-    term, lang, kind, source, count, documents = zip(*postings)
-    numbers = np.array([count, documents], "<i8").tobytes()
+
+RUNS = "shard int, run string, part int, first binary, names string, data binary"
+_RUNS = pa.schema(
+    [("shard", pa.int32()), ("run", pa.string()), ("part", pa.int32()), ("first", pa.binary()), ("names", pa.string()), ("data", pa.binary())]
+)
+_FAST = pa.ipc.IpcWriteOptions(compression="zstd")
+
+
+def _part(shard: int, run: str, part: int, p: Postings) -> dict:
+    """One row of a run, with only those languages and groups that its postings name."""
+    langs, lang = np.unique(p.lang, return_inverse=True)
+    groups, group = np.unique(p.group, return_inverse=True)
+    columns = {"term": p.names}
+    for name, ends, values in (
+        ("lang", p.lang_ends, lang), ("documents", p.lang_ends, p.documents), ("totals", p.lang_ends, p.totals),
+        ("group", p.group_ends, group), ("counts", p.group_ends, p.counts),
+    ):
+        columns[name] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
+    table = pa.table(columns)
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema, options=_FAST) as writer:
+        writer.write_table(table)
+    names = json.dumps([[p.langs[i] for i in langs], [p.groups[i] for i in groups]])
     return {
-        "shard": shard, "run": run, "part": part, "first": term[0], "term": _pack(term),
-        "lang": _pack(lang), "kind": bytes(kind), "source": _pack(source),
-        "counts": zlib.compress(numbers, 1),
+        "shard": shard, "run": run, "part": part, "first": p.names[0].as_py(), "names": names,
+        "data": sink.getvalue().to_pybytes(),
     }
 
 
-def _read_part(row: dict) -> list[tuple]:
-    kind = row["kind"]
-    n = len(kind)
-    numbers = np.frombuffer(zlib.decompress(row["counts"]), "<i8").tolist()
-    columns = (_unpack(row[c], n) for c in ("term", "lang", "source"))
-    term, lang, source = columns
-    return list(zip(term, lang, kind, source, numbers[:n], numbers[n:]))
-
-
-_RUN_SCHEMA = pa.schema(
-    [
-        ("shard", pa.int32()), ("run", pa.string()), ("part", pa.int32()),
-        *[(c, pa.binary()) for c in ("first", "term", "lang", "kind", "source", "counts")],
+def _parts(shard: int, run: str, p: Postings, first: int = 0) -> list[dict]:
+    """Parts of about `PART_POSTINGS` postings."""
+    size = p.lang_ends[1:] + p.group_ends[1:]
+    cut = np.searchsorted(size, np.arange(PART_POSTINGS, size[-1], PART_POSTINGS)) if len(size) else []
+    bounds = np.unique([0, *(np.asarray(cut) + 1), len(size)])
+    return [
+        _part(shard, run, first + k, p.pick(np.arange(a, b)))
+        for k, (a, b) in enumerate(zip(bounds, bounds[1:]))
     ]
-)
 
 
-def _spill(postings: list[tuple], run: str, shards: int) -> Iterator[pa.RecordBatch]:
-    """One run: per shard its postings in term order, in parts."""
-    cut: dict[int, list[tuple]] = {}
-    for term, group in groupby(postings, itemgetter(0)):
-        cut.setdefault(zlib.crc32(term) % shards, []).extend(group)
-    for shard, own in cut.items():
-        rows = [
-            _parts(shard, run, k // PART_POSTINGS, own[k : k + PART_POSTINGS])
-            for k in range(0, len(own), PART_POSTINGS)
-        ]
-        yield pa.RecordBatch.from_pylist(rows, _RUN_SCHEMA)
+def _spill(p: Postings, run: str, shards: int) -> Iterator[pa.RecordBatch]:
+    """One run: per shard its postings in the order of terms, in parts."""
+    shard = np.fromiter(map(zlib.crc32, p.names.to_pylist()), np.int64, len(p.names)) % shards
+    order = np.argsort(shard, kind="stable")
+    bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+    for k, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        if a < b:
+            yield pa.RecordBatch.from_pylist(_parts(k, run, p.pick(order[a:b])), _RUNS)
 
 
-def runs(docs: DataFrame, shards: int, block: int = BLOCK_POSTINGS) -> DataFrame:
+def runs(docs: DataFrame, shards: int, block: int = BLOCK_BYTES) -> DataFrame:
     """Term-sorted runs of `docs`, cut into shards and parts."""
     slim = docs.select(
         whole_text("lang").alias("lang"), whole_text("source").alias("source"), whole_text("text").alias("text")
@@ -164,51 +191,135 @@ def runs(docs: DataFrame, shards: int, block: int = BLOCK_POSTINGS) -> DataFrame
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, n = TaskContext.get().partitionId(), 0
-        held = Block()
+        held: list[tuple[str, str, bytes]] = []
+        size = 0
+
+        def spill() -> Iterator[pa.RecordBatch]:
+            found = _block(held)
+            if found is not None:
+                yield from _spill(found, f"{task}-{n}", shards)
+
         for batch in batches:
-            for lang, source, text in zip(*(c.to_pylist() for c in batch.columns)):
-                held.add(lang.encode(), source.encode(), terms(text))
-                if held.size >= block:
-                    yield from _spill(held.postings(), f"{task}-{n}", shards)
-                    held, n = Block(), n + 1
-        if held.size:
-            yield from _spill(held.postings(), f"{task}-{n}", shards)
+            for k in range(0, batch.num_rows, 256):
+                for lang, source, text in zip(*(c.slice(k, 256).to_pylist() for c in batch.columns)):
+                    held.append((lang, source, terms(text)))
+                    size += len(text)
+                    if size >= block:
+                        yield from spill()
+                        held, size, n = [], 0, n + 1
+        if held:
+            yield from spill()
 
     return slim.mapInArrow(index, RUNS)
 
 
-def _merged(rows: Iterator[dict]) -> Iterator[tuple]:
-    """Postings of all runs in order, equal ones added up; `rows` are parts by their first term.
+class Names:
+    """Ids of the languages and groups that a merge meets."""
 
-    A run's next part is opened only when the merge reaches its first term, so one part of each run
-    is held at a time.
+    def __init__(self) -> None:
+        self.langs: dict[str, int] = {}
+        self.groups: dict[tuple[str, str], int] = {}
+
+    def open(self, row: dict) -> Postings:
+        langs, groups = json.loads(row["names"])
+        lang_ids = np.array([self.langs.setdefault(g, len(self.langs)) for g in langs])
+        group_ids = np.array([self.groups.setdefault((g, s), len(self.groups)) for g, s in groups])
+        table = pa.ipc.open_stream(row["data"]).read_all().combine_chunks()
+        c = {name: table.column(name).chunk(0) for name in table.column_names}
+        ends = {name: c[name].offsets.to_numpy().astype(np.int64) for name in ("lang", "group")}
+        flat = {name: c[name].flatten().to_numpy() for name in table.column_names[1:]}
+        return Postings(
+            c["term"], self.langs, self.groups, ends["lang"], lang_ids[flat["lang"]], flat["documents"],
+            flat["totals"], ends["group"], group_ids[flat["group"]], flat["counts"],
+        )
+
+
+class _Cursor:
+    """A part that a merge has opened: its terms, how many documents each has, and which are taken."""
+
+    def __init__(self, postings: Postings):
+        self.postings = postings
+        self.terms = postings.names.to_pylist()
+        seen = np.concatenate([[0], np.cumsum(postings.documents)])
+        self.documents = np.diff(seen[postings.lang_ends]).tolist()
+        self.at = 0
+        self.taken: list[int] = []
+        self.places: list[int] = []
+
+
+def _merged(rows: Iterator[dict], fewest: int = 0) -> Iterator[Postings]:
+    """Postings of all runs in the order of terms, `MERGED_TERMS` at a time; `rows` are parts by first term.
+
+    A heap holds the next term of every open part, and a part is opened only when the merge reaches its
+    first term, so one part of each run is held at a time. Terms in fewer than `fewest` documents, of all
+    languages together, are left out.
     """
-    heap: list[tuple] = []
+    names = Names()
+    heap: list[tuple[bytes, int, _Cursor]] = []
     opened = 0
     ahead = next(rows, None)
-    current: list | None = None
+    held: list[bytes] = []
+    taking: set[_Cursor] = set()
     while heap or ahead is not None:
-        while ahead is not None and (not heap or ahead["first"] <= heap[0][0][0]):
-            rest = iter(_read_part(ahead))
-            head = next(rest)
-            heapq.heappush(heap, (head[:4], opened, head, rest))
+        while ahead is not None and (not heap or ahead["first"] <= heap[0][0]):
+            cursor = _Cursor(names.open(ahead))
+            heapq.heappush(heap, (cursor.terms[0], opened, cursor))
             opened += 1
             ahead = next(rows, None)
-        key, order, posting, rest = heap[0]
-        after = next(rest, None)
-        if after is None:
-            heapq.heappop(heap)
-        else:
-            heapq.heapreplace(heap, (after[:4], order, after, rest))
-        if current is not None and current[0] == key:
-            current[1] += posting[4]
-            current[2] += posting[5]
-        else:
-            if current is not None:
-                yield (*current[0], current[1], current[2])
-            current = [key, posting[4], posting[5]]
-    if current is not None:
-        yield (*current[0], current[1], current[2])
+        term = heap[0][0]
+        same: list[tuple[_Cursor, int]] = []
+        documents = 0
+        while heap and heap[0][0] == term:
+            _, order, cursor = heap[0]
+            same.append((cursor, cursor.at))
+            documents += cursor.documents[cursor.at]
+            cursor.at += 1
+            if cursor.at < len(cursor.terms):
+                heapq.heapreplace(heap, (cursor.terms[cursor.at], order, cursor))
+            else:
+                heapq.heappop(heap)
+        if documents >= fewest:
+            for cursor, at in same:
+                cursor.taken.append(at)
+                cursor.places.append(len(held))
+                taking.add(cursor)
+            held.append(term)
+            if len(held) == MERGED_TERMS:
+                yield _added(held, taking, names)
+                held, taking = [], set()
+    if held:
+        yield _added(held, taking, names)
+
+
+def _added(held: list[bytes], taking: set[_Cursor], names: Names) -> Postings:
+    """Postings of the held terms, those of the same language or group added up."""
+    entries: list[list[np.ndarray]] = [[], [], [], [], []]
+    n_langs, n_groups = len(names.langs), len(names.groups)
+    for cursor in taking:
+        at, place = np.array(cursor.taken), np.array(cursor.places)
+        own = cursor.postings.pick(at)
+        entries[0].append(np.repeat(place, np.diff(own.lang_ends)) * n_langs + own.lang)
+        entries[1].append(own.documents)
+        entries[2].append(own.totals)
+        entries[3].append(np.repeat(place, np.diff(own.group_ends)) * n_groups + own.group)
+        entries[4].append(own.counts)
+        cursor.taken, cursor.places = [], []
+    lang, documents, totals, group, counts = map(np.concatenate, entries)
+    (lang, documents, totals), (group, counts) = _sums(lang, documents, totals), _sums(group, counts)
+    n = len(held)
+    return Postings(
+        pa.array(held, pa.binary()), list(names.langs), list(names.groups),
+        _ends(lang // n_langs, n), lang % n_langs, documents, totals,
+        _ends(group // n_groups, n), group % n_groups, counts,
+    )
+
+
+def _sums(key: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys, ascending, and the sums of their values."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    begins = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
+    return key[begins], *[np.add.reduceat(v[order], begins) for v in values]
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -228,14 +339,11 @@ def _merge_round(parts: DataFrame, groups: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (shard, name), rows in groupby(_rows(batches), itemgetter("shard", "run")):
-            held, n = [], 0
-            for posting in _merged(rows):
-                held.append(posting)
-                if len(held) == PART_POSTINGS:
-                    yield pa.RecordBatch.from_pylist([_parts(shard, name, n, held)], _RUN_SCHEMA)
-                    held, n = [], n + 1
-            if held:
-                yield pa.RecordBatch.from_pylist([_parts(shard, name, n, held)], _RUN_SCHEMA)
+            n = 0
+            for postings in _merged(rows):
+                made = _parts(shard, name, postings, n)
+                n += len(made)
+                yield pa.RecordBatch.from_pylist(made, _RUNS)
 
     return _sorted(dealt, "shard", "run").mapInArrow(run, RUNS)
 
@@ -245,7 +353,7 @@ FREQUENCIES = "lang string, term string, source string, count long, total long"
 
 def frequencies(
     docs: DataFrame, fewest: int = FEWEST_DOCUMENTS, shards: int | None = None,
-    block: int = BLOCK_POSTINGS, fan_in: int = FAN_IN,
+    block: int = BLOCK_BYTES, fan_in: int = FAN_IN,
 ) -> DataFrame:
     """Per kept term: one row with a null source for the language, and one per source that has it.
 
@@ -258,32 +366,41 @@ def frequencies(
     while n_runs > fan_in:
         n_runs = -(-n_runs // fan_in)
         parts = stage(_merge_round(parts, n_runs))
-    arrow = pa.schema(
-        [*[(c, pa.string()) for c in ("lang", "term", "source")], ("count", pa.int64()), ("total", pa.int64())]
-    )
-
-    def made(held: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), arrow)], schema=arrow)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, rows in groupby(_rows(batches), itemgetter("shard")):
-            held: list[tuple] = []
-            total, kept = 0, False
-            for term, lang, kind, source, count, documents in _merged(rows):
-                if kind == 0:
-                    total, kept = count, documents >= fewest
-                if kept:
-                    own = source.decode() if kind else None
-                    held.append((lang.decode(), term.decode(), own, count, total))
-                    if len(held) >= 10_000:
-                        yield made(held)
-                        held = []
-            if held:
-                yield made(held)
+            for postings in _merged(rows, fewest):
+                yield from _kept(postings, fewest)
 
     return _sorted(parts, "shard").mapInArrow(run, FREQUENCIES)
 
 
+def _kept(p: Postings, fewest: int) -> Iterator[pa.RecordBatch]:
+    """Rows of `FREQUENCIES` for the terms that a language keeps."""
+    n_langs = len(p.langs)
+    names = p.names.cast(pa.string())
+    langs = pa.array(p.langs, pa.string())
+    kept = p.documents >= fewest
+    term = np.repeat(np.arange(len(names)), np.diff(p.lang_ends))[kept]
+    key, total = term * n_langs + p.lang[kept], p.totals[kept]
+    if not len(key):
+        return
+    ids = {g: i for i, g in enumerate(p.langs)}
+    lang_of = np.array([ids[g] for g, _ in p.groups])
+    sources = pa.array([s for _, s in p.groups], pa.string())
+    own = np.repeat(np.arange(len(names)), np.diff(p.group_ends)) * n_langs + lang_of[p.group]
+    at = np.minimum(np.searchsorted(key, own), len(key) - 1)
+    here = key[at] == own
+    for keys, source, count, whole in (
+        (key, pa.nulls(len(key), pa.string()), total, total),
+        (own[here], sources.take(pa.array(p.group[here])), p.counts[here], total[at[here]]),
+    ):
+        columns = [langs.take(pa.array(keys % n_langs)), names.take(pa.array(keys // n_langs)), source, pa.array(count), pa.array(whole)]
+        batch = pa.RecordBatch.from_arrays(columns, names=["lang", "term", "source", "count", "total"])
+        for k in range(0, batch.num_rows, 10_000):
+            yield batch.slice(k, 10_000)
+
+
 def share(count: str, size: str) -> Column:
     """1 + floor(SHARE * (count + 2) / size), digit by digit to base 1000 so that nothing overflows."""
     digits, rest = "0L", f"({count} + 2L)"

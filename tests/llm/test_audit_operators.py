@@ -183,7 +183,7 @@ def test_audit_against_the_formulas(spark):
     rows += [(600, "s1", "en", "same same text")] * 12
     want = audit(rows, 10, 10)
     assert audited(docs_of(spark, rows)) == want
-    small = {"block": 20, "fan_in": 2, "shards": 3, "sources": 2}
+    small = {"block": 300, "fan_in": 2, "shards": 3, "sources": 2}
     assert audited(docs_of(spark, rows, 7), **small) == want
     assert audited(docs_of(spark, rows, 1), fewest=3, top=2) == audit(rows, 3, 2)
     assert audited(docs_of(spark, rows).limit(0)) == []
@@ -193,20 +193,30 @@ def test_pairs_are_added_up_in_pieces(spark, monkeypatch):
     draw = random.Random(4)
     rows = [(k, f"s{k % 9}", "en", " ".join(words_of(draw))) for k in range(90)]
     monkeypatch.setattr(divergence, "CELLS", 1)
+    monkeypatch.setattr(divergence, "MERGED_TERMS", 2)
     assert audited(docs_of(spark, rows), fewest=2) == audit(rows, 2, 10)
 
 
-def test_runs_are_sorted_and_hold_every_posting(spark):
+def test_runs_are_sorted_and_hold_every_posting(spark, monkeypatch):
+    monkeypatch.setattr(divergence, "PART_POSTINGS", 7)
     draw = random.Random(5)
-    rows = [(k, f"s{k % 3}", "en", " ".join(words_of(draw))) for k in range(60)]
-    parts = divergence.runs(docs_of(spark, rows), 2, 15).collect()
+    texts = [" ".join(words_of(draw)) for _ in range(60)]
+    blocks = [divergence._block([("en", f"s{k % 3}", divergence.terms(t)) for k, t in enumerate(texts[a : a + 10])]) for a in range(0, 60, 10)]
     by_run = collections.defaultdict(list)
-    for row in sorted(parts, key=lambda r: r.part):
-        by_run[row.run, row.shard] += divergence._read_part({k: bytes(v) if isinstance(v, bytearray) else v for k, v in row.asDict().items()})
-    assert len({run for run, _ in by_run}) > 6
-    assert all(p == sorted(p) for p in by_run.values())
-    found = sum(p[4] for posts in by_run.values() for p in posts if p[2] == 1)
-    assert found == sum(len(divergence.terms(t)) for *_, t in rows)
+    for k, block in enumerate(blocks):
+        for batch in divergence._spill(block, str(k), 2):
+            for row in batch.to_pylist():
+                by_run[row["run"], row["shard"]].append(divergence.Names().open(row))
+    assert len(by_run) == 12 and max(map(len, by_run.values())) > 1
+    for parts in by_run.values():
+        names = [n for p in parts for n in p.names.to_pylist()]
+        assert names == sorted(set(names))
+    found = collections.Counter()
+    for parts in by_run.values():
+        for p in parts:
+            for name, a, b in zip(p.names.to_pylist(), p.group_ends, p.group_ends[1:]):
+                found[name] += int(p.counts[a:b].sum())
+    assert found == collections.Counter(w for t in texts for w in divergence.terms(t).split())
 
 
 # --- 13: Merkle manifest
