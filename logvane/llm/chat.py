@@ -21,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
-from itertools import groupby
+from itertools import chain, groupby
 from operator import itemgetter
 
 import pyarrow as pa
@@ -92,8 +92,8 @@ def _common(a: str, b: str) -> int:
 
 def _sentinel(*texts: str) -> str:
     """A character of the private use area that stands in none of the texts."""
-    used = set().union(*texts)
-    return next(chr(c) for c in (*range(0xE000, 0xF900), *range(0xF0000, 0x10FFFE)) if chr(c) not in used)
+    private = chain(range(0xE000, 0xF900), range(0xF0000, 0x10FFFE))
+    return next(chr(c) for c in private if not any(chr(c) in t for t in texts))
 
 
 def _text_span(template: Template, turns: list[Turn], at: int, out: str) -> tuple[int, int] | None:
