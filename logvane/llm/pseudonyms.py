@@ -6,12 +6,15 @@ network over a pair (l, r) of Z_a x Z_b: ten rounds in turn add a keyed hash of
 other. Per format:
 
     card     13 to 19 digits that pass Luhn; all but the last are permuted, the last is recomputed
-    phone    North American numbers, area and exchange codes 200 to 999; the country code stays
+    phone    North American numbers, area and exchange codes 200 to 999; with a country code and
+             brackets around the area code any digits. Area codes below 200, and exchange codes
+             below 200 after others, are permuted among themselves; the country code stays
     address  four octets of 0 to 255, as two halves of 16 bits
     social   ###-##-#### with area 001 to 899 but 666, group and serial not 0
     date     yyyy-mm-dd, dd/mm/yyyy, dd.mm.yyyy, mm/dd/yyyy if it can be no other, from 1901 to
              2096; the 28 years from 1901, 1929, … have 10 227 days each, within which days move
-    mail     no number: local part and domain become keyed hashes, in the reserved domain `invalid`
+    mail     no number: local part and domain (of up to 127 labels, as names have) become keyed hashes,
+             in the reserved domain `invalid`
 
 What doesn't validate stays as it is. Separators and signs stay where they are.
 
@@ -31,7 +34,7 @@ ROUNDS = 10
 DEMO_KEY = "an example, not a secret"
 
 KINDS = ("mail", "address", "card", "phone", "social", "date")
-_MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}+"
+_MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]++\.){1,127}[A-Za-z]{2,}+"
 _ADDRESS = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 _CARD = (
     r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})"
@@ -40,6 +43,7 @@ _CARD = (
 _PHONE = (
     r"(?<![0-9+])(?:\+?1[ .-]?)?(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[ .-])"
     r"[2-9][0-9]{2}[ .-][0-9]{4}(?![0-9])"
+    r"|(?<![0-9+])\+[0-9]{1,3}[ .-]?\([0-9]{3}\)[ .-]?[0-9]{3}[ .-][0-9]{4}(?![0-9])"
 )
 _SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 _DATE = (
@@ -137,14 +141,17 @@ def _card(e: Column, key: str) -> Column:
 def _phone(e: Column, key: str) -> Column:
     country = F.length(e["d"]) - 10
     area, rest = _part(e["d"], country + 1, 3), _part(e["d"], country + 4, 7)
+    low_area = area < 200
+    low = low_area | (rest < 2_000_000)
+    area_from, rest_from = F.when(low_area, 0).otherwise(200), F.when(low, 0).otherwise(2_000_000)
+    areas = F.when(low_area, 200).otherwise(800)
+    rests = F.when(low_area, 10_000_000).when(low, 2_000_000).otherwise(8_000_000)
     moved = F.transform(
-        F.array(
-            feistel(area - 200, rest - 2_000_000, F.lit(800), F.lit(8_000_000), key, "phone")
-        ),
+        F.array(feistel(area - area_from, rest - rest_from, areas, rests, key, "phone")),
         lambda h: F.concat(
             F.substring(e["d"], F.lit(1), country),
-            _padded(h["l"] + 200, 3),
-            _padded(h["r"] + 2_000_000, 7),
+            _padded(h["l"] + area_from, 3),
+            _padded(h["r"] + rest_from, 7),
         ),
     )
     return _fill(e["x"], F.get(moved, F.lit(0)))
@@ -232,7 +239,7 @@ def _valid(e: Column) -> Column:
         "mail": x.contains("@"),
         "address": x.rlike(f"^{_ADDRESS}$") & F.forall(_octets(e), lambda o: o <= 255),
         "card": x.rlike(f"^{_CARD}$") & (_luhn(d, 2) % 10 == 0) & (F.length(F.translate(d, "0", "")) > 0),
-        "phone": x.rlike(f"^{_PHONE}$"),
+        "phone": x.rlike(f"^(?:{_PHONE})$"),
         "social": x.rlike(f"^{_SOCIAL}$")
         & _part(d, 1, 3).between(1, 899)
         & (_part(d, 1, 3) != 666)
