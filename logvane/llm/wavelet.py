@@ -61,7 +61,8 @@ class LibraryEncoder:
     The vocabulary's pattern always cuts before a space that a non-space follows, and between letters
     and punctuation that is no apostrophe. So the ids of a text are those of its stretches between
     such spaces, and a word's do not depend on a full stop after it: the library sees each head, new
-    word, mark and other stretch once. Texts with other spaces go to it whole.
+    word, mark and other stretch once. Texts with other spaces, or with one of the vocabulary's special
+    tokens, go to it whole.
     """
 
     def __init__(self, path: str):
@@ -69,7 +70,8 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special) or "(?!)")
         self.odd_space = re.compile(r" (?:\s|$)")
         self.stretches, self.marks = Memory(REMEMBERED), Memory(REMEMBERED)
         vocabulary = self.tokenizer.get_vocab()
@@ -102,7 +104,7 @@ class LibraryEncoder:
         self.marks.begin()
         heads, tails = [], []
         for text in texts:
-            odd = not text or self.odd_space.search(text)
+            odd = not text or self.odd_space.search(text) or self.special.search(text)
             head, *rest = [text or ""] if odd else text.split(" ")
             heads.append(head)
             tails.append(rest)

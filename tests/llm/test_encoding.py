@@ -113,7 +113,6 @@ def test_wavelet_of_nothing_and_of_one_token():
 
 def _expected(pairs):
     coder = Tokenizer.from_file(wavelet.VOCABULARY)
-    coder.encode_special_tokens = True
     start, out = 0, []
     for doc_id, text in pairs:
         found = np.array([*coder.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
