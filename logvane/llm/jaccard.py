@@ -82,7 +82,7 @@ def _embed(items: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """Per document: its `key`, its set's id, and the set's tokens (null without words)."""
+    """Per document: its `key`, its text's hash, its set's id, and the set's tokens (null without words)."""
 
     def work(rows: dict[str, list]):
         ids, sketches = [], []
@@ -96,10 +96,11 @@ def _sets(docs: DataFrame) -> DataFrame:
             else:
                 ids.append(key)
                 sketches.append(None)
-        yield {"doc_id": rows["doc_id"], "key": rows["key"], "set": ids, "sketch": sketches}
+        kept = {c: rows[c] for c in ("doc_id", "key", "said")}
+        yield kept | {"set": ids, "sketch": sketches}
 
-    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
-    return arrow_map(keyed, work, "doc_id long, key long, set long, sketch binary")
+    keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"), F.xxhash64("text").alias("said"))
+    return arrow_map(keyed, work, "doc_id long, key long, said long, set long, sketch binary")
 
 
 def _tokens(sketches: list[bytes]) -> np.ndarray:
@@ -257,7 +258,7 @@ def _likely_links(found: pa.Table) -> dict[str, np.ndarray]:
 
 
 def _exact_links(found: pa.Table) -> dict[str, np.ndarray]:
-    """A tile of a component: links of each set, and a spanning forest of the links.
+    """A tile of a component: texts that each set is linked to, and a spanning forest of the links.
 
     Sets meet as rows of a 0/1 matrix over the shingles that more than one of them has, a slice of
     the shingles at a time.
@@ -284,7 +285,7 @@ def _exact_links(found: pa.Table) -> dict[str, np.ndarray]:
     similar = common >= THRESHOLD * union - 1e-6
     np.fill_diagonal(similar, False)
     similar &= (right[:, None] != right[None, :]) if crossed else (nodes[:, None] != nodes[None, :])
-    links = similar.sum(axis=1)
+    links = similar @ found.column("texts").to_numpy()
     pair_a, pair_b = np.nonzero(np.triu(similar))
     a, b = _forest(len(nodes), iter([(pair_a, pair_b)]))
     own = np.flatnonzero(links)
@@ -313,30 +314,32 @@ def _candidates(reps: DataFrame) -> DataFrame:
 
 
 def similar_sets(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Documents with their sets; (set, links); (node, root) of sets with links."""
+    """Documents with their sets; (set, links) of those linked to other texts; (node, root) of sets with links."""
     sets = stage(_sets(docs))
     whole = sets.where("sketch is not null")
     reps = stage(whole.select("set", "sketch").dropDuplicates(["set"]))
     near = components(_candidates(reps))
     sized = near.join(near.groupBy("root").agg(F.count("*").alias("size")), "root")
-    first = whole.groupBy("set").agg(F.min("key").alias("key"))
+    first = stage(whole.groupBy("set").agg(F.min("key").alias("key"), F.count_distinct("said").alias("texts")))
     member = sized.withColumnRenamed("node", "set").join(first, "set")
     keyed = docs.select("text", F.xxhash64("doc_id", "text").alias("key")).dropDuplicates(["key"])
 
     def work(rows: dict[str, list]):
         items = [shingles(text).tobytes() for text in rows["text"]]
-        yield {name: rows[name] for name in ("set", "root", "size")} | {"items": items}
+        yield {name: rows[name] for name in ("set", "root", "size", "texts")} | {"items": items}
 
     texts = keyed.join(member, "key")
-    items = arrow_map(texts, work, "set long, root long, size long, items binary")
+    items = arrow_map(texts, work, "set long, root long, size long, texts long, items binary")
     tiles = _in_blocks(items, "root", "set", EXACT_LIMIT)
-    exact = stage(_by_tile(tiles, _exact_links, ["set", "items"], "a long, b long, links long"))
-    links = exact.where("a = b").groupBy(F.col("a").alias("set")).agg(F.sum("links").alias("links"))
-    return sets, links, components(exact.select("a", "b"))
+    exact = stage(_by_tile(tiles, _exact_links, ["set", "texts", "items"], "a long, b long, links long"))
+    others = exact.where("a = b").groupBy(F.col("a").alias("set")).agg(F.sum("links").alias("others"))
+    # different texts of one set are linked too
+    linked = first.join(others, "set", "left").select("set", (F.col("texts") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
+    return sets, linked.where("links > 0"), components(exact.select("a", "b"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """Per row of `docs`: doc_id, `key`, `class_id`, `n_links` (other sets it is linked to)."""
+    """Per row of `docs`: doc_id, `key`, `class_id`, `n_links` (other texts it is linked to)."""
     sets, links, roots = similar_sets(docs.select("doc_id", "text"))
     placed = (
         sets.select("doc_id", "key", "set")

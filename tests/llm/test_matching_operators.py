@@ -88,9 +88,9 @@ def similar(pairs):
             x, y = sets[a], sets[b]
             if x and y and len(x & y) >= 0.8 * len(x | y):
                 root[find(a)] = find(b)
-                if x != y:
-                    links[a].add(y)
-                    links[b].add(x)
+                if pairs[a][1] != pairs[b][1]:
+                    links[a].add(pairs[b][1])
+                    links[b].add(pairs[a][1])
             elif not x and pairs[a] == pairs[b]:
                 root[find(a)] = find(b)
     least = collections.defaultdict(list)
@@ -114,6 +114,7 @@ def near_pairs():
     pairs += [(100 + k, " ".join(base)) for k in range(30)]
     pairs += [(200 + k, " ".join(base[:60]) + edited([f"u{k}x{j}" for j in range(150)], 9, random_)) for k in range(80)]
     pairs += [(400, None), (401, ""), (401, ""), (402, "a b"), (403, "a b"), (404, "a b c"), (None, "a b"), (405, " \n")]
+    pairs += [(130, "\n".join(base)), (131, "  ".join(base)), (408, "a\tb"), (409, "c d e f g " * 9), (410, "c d e f g " * 10)]
     pairs += [(406, " ".join(f"l{j}" for j in range(20_000))), (407, " ".join(f"l{j}" for j in range(19_800)))]
     return pairs
 
