@@ -4,9 +4,9 @@ Two multinomials over `BUCKETS` hash buckets are counted in Spark: one over all
 corpus), one over trusted documents. A text's score is the mean of log(p_trusted / p_raw) over its
 n-grams, and it is kept if the score reaches a fixed threshold. Only DataFrame functions run here.
 
-Each word gives two n-grams: itself, and its shape. The shape of a marked word, one that holds more
-than letters and digits, is written with `a` for runs of those and paired with the next marked
-word's; all plain words have one shape. So the score sees vocabulary as well as layout and symbols.
+Each word gives two n-grams: itself, lower-cased, and the pair of its shape and the next word's (the
+last word's with nothing). A shape has `a` for every run of letters and digits and all else as it
+stands. So the score sees vocabulary as well as layout and symbols.
 
 Defined results: null text counts as empty; a text without words has zero counts, score 0 and fails
 the base rules; without trusted documents every score is 0 and the base rules alone decide. Repeated
@@ -34,25 +34,14 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 
-#: A word that holds more than letters and digits.
-_MARKED = r"(?<![^\x20\x09-\x0D])[\p{L}\p{N}]*+[^\p{L}\p{N}\x20\x09-\x0D][^\x20\x09-\x0D]*+"
-#: The bucket of words of letters and digits only.
-_PLAIN = 0
-
-
 def _bucket(*parts: Column) -> Column:
     return F.xxhash64(*parts).bitwiseAND(BUCKETS - 1).cast("int")
 
 
-def _shape_bucket(shape: Column, following: Column) -> Column:
-    return _bucket(shape, F.coalesce(following, F.lit("")))
-
-
 def _split(docs: DataFrame, keep: list[str], **more: Column) -> DataFrame:
-    """Words, and the shapes of the marked ones."""
+    """Words, and their shapes: as many, as no space is a letter or a digit."""
     text = whole_text()
-    marked = F.regexp_extract_all(text, F.lit(_MARKED), F.lit(0))
-    shapes = F.transform(marked, lambda w: F.regexp_replace(w, r"[\p{L}\p{N}]+", "a"))
+    shapes = split_words(F.regexp_replace(text, r"[\p{L}\p{N}]+", "a"))
     return computed_once(docs, keep, _words=split_words(text), _shapes=shapes, **more)
 
 
@@ -67,26 +56,17 @@ def weights(docs: DataFrame, trusted_ids: DataFrame) -> DataFrame:
         .withColumn("_trusted", F.lit(1))
     )
     marked = docs.select("doc_id", "text").join(F.broadcast(first), "doc_id", "left")
-    shapes, n = F.col("_shapes"), F.size("_words")
-    plain = (n - F.size("_shapes")).cast("long")
-    # a gram is its bucket, and above that how often it counts
-    grams = F.concat(
-        F.transform("_words", lambda w: _bucket(w) + F.lit(BUCKETS).cast("long")),
-        F.transform(
-            shapes,
-            lambda s, i: _shape_bucket(s, F.get(shapes, i + 1)) + F.lit(BUCKETS).cast("long"),
-        ),
-        F.array(plain * BUCKETS + _PLAIN),
+    split = _split(marked, ["_trusted"])
+    # one row per word, with what follows it, so that hashing runs in generated code
+    following = F.slice("_shapes", 2, F.greatest(F.size("_shapes"), F.lit(1)))
+    words = split.withColumn("_next", following).select(
+        "_trusted", F.inline(F.arrays_zip("_words", "_shapes", "_next"))
     )
-    times = F.shiftright("gram", BUCKETS.bit_length() - 1)
+    grams = F.array(_bucket(F.lower("_words")), _bucket("_shapes", F.coalesce("_next", F.lit(""))))
     counts = (
-        _split(marked, ["_trusted"])
-        .select("_trusted", F.explode(grams).alias("gram"))
-        .groupBy(F.col("gram").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket"))
-        .agg(
-            F.sum(times).alias("raw"),
-            F.sum(F.when(F.col("_trusted").isNotNull(), times)).alias("good"),
-        )
+        words.select("_trusted", F.explode(grams).alias("bucket"))
+        .groupBy("bucket")
+        .agg(F.count("*").alias("raw"), F.count("_trusted").alias("good"))
     )
     filled = (
         docs.sparkSession.range(BUCKETS)
@@ -168,15 +148,12 @@ def _judged(docs: DataFrame, trusted_ids: DataFrame, threshold: float) -> DataFr
     )
     words, shapes, n = F.col("_words"), F.col("_shapes"), F.size("_words")
     table = F.col("_weights")
-    sums = (
-        F.aggregate(words, F.lit(0.0), lambda total, w: total + F.get(table, _bucket(w)))
-        + F.aggregate(
-            F.transform(shapes, lambda s, i: F.get(table, _shape_bucket(s, F.get(shapes, i + 1)))),
-            F.lit(0.0),
-            lambda total, x: total + x,
-        )
-        + (n - F.size(shapes)) * F.get(table, F.lit(_PLAIN))
+    weighed = F.transform(
+        words,
+        lambda w, i: F.get(table, _bucket(F.lower(w)))
+        + F.get(table, _bucket(F.get(shapes, i), F.coalesce(F.get(shapes, i + 1), F.lit("")))),
     )
+    sums = F.aggregate(weighed, F.lit(0.0), lambda total, x: total + x)
     facts = computed_once(
         split,
         ["_row", "_words", "n_symbols"],
