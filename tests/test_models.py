@@ -48,6 +48,37 @@ def test_dbscan_equals_brute_force(spark, block):
     assert [got[i] for i in range(len(x))] == plain_dbscan(x, 0.45, 6).tolist()
 
 
+@pytest.mark.parametrize("block", [20, 200])
+def test_dense_and_flat_cells(spark, block, monkeypatch):
+    """Crowds within eps, two of them linked by one pair only, flat directions, and points on planes."""
+    monkeypatch.setattr(dbscan, "FEW", 3)
+    rng = np.random.default_rng(8)
+    crowds = [rng.uniform(0, 0.1, (150, 4)) + np.array(c) for c in ([0, 0, 0, 0], [0.45, 0, 0, 0], [0.45, 0.47, 0, 0], [5, 5, 5, 5])]
+    bridge = np.array([[0.101, 0.05, 0.05, 0.05], [0.449, 0.05, 0.05, 0.05]])
+    grid = np.array([[x, y, 7.0, 0.0] for x in np.arange(0, 4, 0.25) for y in np.arange(0, 4, 0.25)])
+    x = np.vstack([*crowds, bridge, grid, rng.uniform(-1, 6, (60, 4))])
+    found = dbscan.dbscan(frame(spark, x), 0.35, 5, block=block)
+    got = {r["id"]: r["cluster"] for r in found.select("id", "cluster").collect()}
+    assert [got[i] for i in range(len(x))] == plain_dbscan(x, 0.35, 5).tolist()
+
+
+def test_cells_grow_with_the_points_and_so_do_not_their_sizes(spark):
+    rng = np.random.default_rng(9)
+    sizes, visits = [], []
+    for n in (500, 4000):
+        x = rng.uniform(0, n ** (1 / 3), (n, 3))
+        points = frame(spark, x).selectExpr("id AS pid", "features AS x", "1L AS weight")
+        cells = dbscan._cells(points, 0.2, 100)
+        assert cells.where("home").count() == n
+        sizes.append(cells.groupBy("cell").agg(F.count_if("home").alias("n")).agg(F.max("n")).first()[0])
+        visits.append(cells.count() / n)
+    assert max(sizes) <= 150 and visits[1] < 2.5 * visits[0]
+
+
+def test_no_points(spark):
+    assert dbscan.dbscan(frame(spark, np.zeros((1, 2))).limit(0), 1.0, 2).count() == 0
+
+
 def test_long_chain_is_one_cluster(spark):
     x = np.arange(60)[:, None] * 0.9
     found = dbscan.dbscan(frame(spark, x), 1.0, 2, block=8)
