@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from checks.parsed_sql import parsed
 from checks.parsing import now
 from checks.registry import GEO_RANGES, LINES, MIXED, RFC5424_LINES, query
-from checks.windows import EV, parsed_lines
+from checks.windows import EV, parsed_lines, state_sql
 from logvane.functions import scalar
 from logvane.operators import features, lookup, parsing
 from logvane.schema import FEATURE_NAMES
@@ -96,10 +96,13 @@ def feat_http_errors(spark, sf):
 
 @query(
     "feat_context",
-    f"SELECT line_id, is_privileged_user, is_sensitive_endpoint, is_known_user_agent, is_known_ip, true AS is_known_country FROM ({SCALARS})",
+    f"SELECT line_id, is_privileged_user, is_sensitive_endpoint, is_known_user_agent, is_known_ip, line_id % 3 = 0 AS is_known_country FROM ({SCALARS})",
 )
 def feat_context(spark, sf):
-    return scalars(spark, sf).select(
+    """A third of the lines comes from a country that is not known, a third from none."""
+    country = F.expr("CASE line_id % 3 WHEN 0 THEN 'FR' WHEN 1 THEN 'ZZ' END")
+    events = parsed_lines(spark, sf).drop("country").withColumn("country", country)
+    return features.scalar_features(events).select(
         "line_id", "is_privileged_user", "is_sensitive_endpoint", "is_known_user_agent", "is_known_ip", "is_known_country"
     )
 
@@ -120,21 +123,55 @@ def feat_entropy(spark, sf):
     return docs.select("doc_id", F.round(scalar.entropy(F.col("text")), 6).alias("entropy"))
 
 
-VECTOR_PARTS = FEATURE_NAMES[:4] + FEATURE_NAMES[9:11]
+# all 21 features of every line; the addresses of the hour before are counted per minute
+ALL_FEATURES = f"""WITH st AS ({state_sql("strict")}), sc AS ({SCALARS}), ev AS (SELECT line_id, source_ip, date_trunc('minute', t) AS m, ln(1 + bytes_sent) AS bytes_transferred FROM ({EV})),
+ active AS (SELECT DISTINCT m, source_ip FROM ev), asked AS (SELECT DISTINCT m FROM ev),
+ u AS (SELECT k.m, count(DISTINCT a.source_ip) AS unique_ips_last_hour FROM asked k LEFT JOIN active a ON a.m >= k.m - INTERVAL 1 HOUR AND a.m < k.m GROUP BY k.m),
+ b AS (SELECT line_id, length(log_line) AS n, unnest(regexp_extract_all(hex(encode(log_line)), '..')) AS x FROM ({LINES})),
+ en AS (SELECT line_id, sum(-(k / n) * log2(k / n)) AS payload_entropy FROM (SELECT line_id, n, x, count(*) AS k FROM b GROUP BY ALL) GROUP BY line_id)
+ SELECT sc.* EXCLUDE (bytes_transferred), ev.bytes_transferred, st.* EXCLUDE (line_id), u.unique_ips_last_hour, en.payload_entropy, 0.0::DOUBLE AS geographic_distance_km, false AS is_known_country
+ FROM sc JOIN st USING (line_id) JOIN ev USING (line_id) JOIN u ON u.m = ev.m JOIN en USING (line_id)"""
+
+
+def all_21(spark, sf):
+    return features.all_features(parsed_lines(spark, sf))
 
 
 @query(
     "feat_vector",
     "SELECT line_id, 21 AS size, "
-    + ", ".join(f"CAST(CAST({n} AS FLOAT) AS DOUBLE) AS v{FEATURE_NAMES.index(n)}" for n in VECTOR_PARTS)
-    + f" FROM ({SCALARS})",
+    + ", ".join(f"round(CAST(CAST({n} AS FLOAT) AS DOUBLE), 5) AS v{i}" for i, n in enumerate(FEATURE_NAMES))
+    + f" FROM ({ALL_FEATURES})",
 )
 def feat_vector(spark, sf):
-    made = features.all_features(parsed_lines(spark, sf)).select("line_id", scalar.vector().alias("v"))
-    parts = [F.col("v")[FEATURE_NAMES.index(n)].cast("double").alias(f"v{FEATURE_NAMES.index(n)}") for n in VECTOR_PARTS]
+    """Every cell of the vector, to five decimals: cells are 32-bit floats."""
+    made = all_21(spark, sf).select("line_id", scalar.vector().alias("v"))
+    parts = [F.round(F.col("v")[i].cast("double"), 5).alias(f"v{i}") for i in range(len(FEATURE_NAMES))]
     return made.select("line_id", F.size("v").alias("size"), *parts)
 
 
+SHOWN = [
+    (f"{group}_{name}", source, digits)
+    for group, fields in scalar.NESTED.items()
+    for name, source, digits in fields
+]
+
+
+@query(
+    "feat_nested",
+    "SELECT line_id, "
+    + ", ".join(f"{source if digits is None else f'round_even({source}, {digits})'} AS {name}" for name, source, digits in SHOWN)
+    + f" FROM ({ALL_FEATURES})",
+)
+def feat_nested(spark, sf):
+    """The features in their groups, with the decimals they are shown with."""
+    rows = all_21(spark, sf).select("line_id", scalar.nested().alias("n"))
+    cells = [
+        F.col(f"n.{group}.{name}").alias(f"{group}_{name}") for group, fields in scalar.NESTED.items() for name, _, _ in fields
+    ]
+    return rows.select("line_id", *cells)
+
+
 LOCATED = f"""SELECT e.*, g.country, g.lat, g.lon FROM ({EV}) e LEFT JOIN ({GEO_RANGES}) g ON
  CAST(split_part(source_ip, '.', 1) AS BIGINT) * 16777216 + CAST(split_part(source_ip, '.', 2) AS BIGINT) * 65536 + CAST(split_part(source_ip, '.', 3) AS BIGINT) * 256 + CAST(split_part(source_ip, '.', 4) AS BIGINT) BETWEEN lo AND hi"""
 

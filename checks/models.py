@@ -214,13 +214,35 @@ TEXTS = (
 )
 
 
-@query(
-    "reasons",
-    f"SELECT id, array_to_string(CASE WHEN len(r) = 0 THEN ['Pattern deviates from normal behavior (ensemble detection)'] ELSE r[1:5] END, '; ') AS reasons FROM (SELECT id, list_filter([{', '.join(TEXTS)}], lambda t: t IS NOT NULL) AS r FROM ({REASON_ROWS} FROM events))",
-)
+# the features that deviate most, as the rows name them; one name may stand twice
+TOPS = ("payload_entropy", "is_known_ip", "bytes_transferred", "hour_of_day")
+TOP_NAMES = "[" + ", ".join(f"(['{"', '".join(TOPS)}'])[CAST((id + {k} * (id % 3)) % 4 AS INTEGER) + 1]" for k in range(4)) + "]"
+
+
+def reason_sql(rules: str) -> str:
+    found = f"SELECT id, {rules} AS r FROM (SELECT id, list_filter([{', '.join(TEXTS)}], lambda t: t IS NOT NULL) AS told FROM ({REASON_ROWS} FROM events))"
+    return f"SELECT id, array_to_string(CASE WHEN len(r) = 0 THEN ['Pattern deviates from normal behavior (ensemble detection)'] ELSE r[1:5] END, '; ') AS reasons FROM ({found})"
+
+
+@query("reasons", reason_sql("told"))
 def reasons(spark, sf):
-    rows = spark.sql(REASON_ROWS + " FROM {events}", events=derived.read_table(spark, sf, "events"))
-    return rows.select("id", F.array_join(explain.reasons(), "; ").alias("reasons"))
+    return reason_rows(spark, sf).select("id", F.array_join(explain.reasons(), "; ").alias("reasons"))
+
+
+def reason_rows(spark, sf):
+    return spark.sql(REASON_ROWS + " FROM {events}", events=derived.read_table(spark, sf, "events"))
+
+
+ANOMALOUS = f"list_transform(list_filter(list_transform(range(3), lambda i: CASE WHEN i = 0 OR NOT list_contains(({TOP_NAMES})[1:i], ({TOP_NAMES})[i + 1]) THEN ({TOP_NAMES})[i + 1] END), lambda t: t IS NOT NULL), lambda t: 'Anomalous ' || replace(t, '_', ' '))"
+
+
+@query("reasons_with_top", reason_sql(f"list_concat(told, {ANOMALOUS})"))
+def reasons_with_top(spark, sf):
+    """The rules' reasons, then the three features that deviate most, each once."""
+    names = F.array(*[F.lit(t) for t in TOPS])
+    top = F.array(*[F.struct(F.get(names, ((F.col("id") + k * (F.col("id") % 3)) % 4).cast("int")).alias("name")) for k in range(4)])
+    rows = reason_rows(spark, sf).withColumn("top", top)
+    return rows.select("id", F.array_join(explain.reasons(F.col("top")), "; ").alias("reasons"))
 
 
 L = f"({LABELLED_SCORES})"
@@ -311,15 +333,22 @@ def model_vs_baseline(spark, sf):
     return gain.select(*[F.round(c, 9).alias(c) for c in gain.columns])
 
 
+# what a stored record without these features counts as
+DEFAULT_CELLS = (
+    "CAST(hour(ts) AS DOUBLE)", "2.0", "CASE WHEN event_id % 2 = 0 THEN 1.0 ELSE 0.0 END", "1.0", "0.5", "0.5", "5.0", "3.0", "0.05",
+    "0.02", "0.01", "10.0", "1.0", "1.0", "round(ln(1001), 9)", "60.0", "300.0", "value", "0.0", "0.0", "1.0",
+)
+
+
 @query(
     "json_features_defaults",
-    "SELECT event_id AS id, CAST(hour(ts) AS DOUBLE) AS f0, 2.0::DOUBLE AS f1, CASE WHEN event_id % 2 = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS f2, 5.0::DOUBLE AS f6, round(ln(1001), 9) AS f14, value AS f17 FROM events",
+    "SELECT event_id AS id, " + ", ".join(f"({cell})::DOUBLE AS f{i}" for i, cell in enumerate(DEFAULT_CELLS)) + " FROM events",
 )
 def json_features_defaults(spark, sf):
     events = derived.read_table(spark, sf, "events")
     stored = F.to_json(F.struct(F.hour("ts").alias("hour_of_day"), (F.col("event_id") % 2 == 0).alias("is_weekend"), F.col("value").alias("payload_entropy")))
     rows = training.matrix_from_json(events.select(F.col("event_id").alias("id"), stored.alias("parsed_fields")))
-    return rows.select("id", *[F.round(F.col("features")[i], 9).alias(f"f{i}") for i in (0, 1, 2, 6, 14, 17)])
+    return rows.select("id", *[F.round(F.col("features")[i], 9).alias(f"f{i}") for i in range(len(DEFAULT_CELLS))])
 
 
 @query("iforest_fit_score")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from checks.models import trained
 from checks.parsing import now
 from checks.registry import ANOMALIES, AS_OF, LINES, query
-from checks.windows import EV, ev, pairs, parsed_lines
+from checks.windows import EV, parsed_lines, state_sql
 from logvane.operators.keyed_time import KEYED_FEATURES
 from logvane.plans import history
 from logvane.plans.alerting import risk_decision
@@ -100,17 +100,6 @@ def stream_sessions(spark, sf):
     return found.select("source_ip", F.unix_seconds("session_start").alias("started"), F.unix_seconds("session_end").alias("ended"), "events")
 
 
-def state_sql(rule: str) -> str:
-    """All six features of an address, each event against all earlier ones of the address."""
-    return f"""WITH {ev(rule)}, g AS (SELECT *, sec - lag(sec) OVER w AS idle FROM ev WINDOW w AS (PARTITION BY source_ip ORDER BY sec, line_id)),
- s AS (SELECT *, sum(CASE WHEN idle >= 1800 THEN 1 ELSE 0 END) OVER w AS half, sum(CASE WHEN idle >= 3600 THEN 1 ELSE 0 END) OVER w AS whole FROM g WINDOW w AS (PARTITION BY source_ip ORDER BY sec, line_id)),
- o AS (SELECT line_id, CAST(coalesce(idle, 0) AS DOUBLE) AS time_since_last_activity_sec, CAST(sec - min(sec) OVER (PARTITION BY source_ip, half) AS DOUBLE) AS session_duration_sec FROM s),
- e AS (SELECT e.line_id, count(DISTINCT p.endpoint) AS unique_endpoints_accessed FROM s e LEFT JOIN s p ON p.source_ip = e.source_ip AND p.whole = e.whole AND (p.sec < e.sec OR (p.sec = e.sec AND p.line_id < e.line_id)) GROUP BY e.line_id),
- r AS (SELECT e.line_id, count(DISTINCT CASE WHEN p.is_auth AND p.sec >= e.sec - 60 THEN p.sec END)::DOUBLE AS login_attempts_per_minute, round(count(DISTINCT CASE WHEN p.sec >= e.sec - 60 THEN p.sec END) / 60.0::DOUBLE, 9) AS requests_per_second,
-  coalesce(round(count(DISTINCT CASE WHEN p.is_auth AND NOT p.success THEN p.sec END) / nullif(count(DISTINCT CASE WHEN p.is_auth THEN p.sec END), 0), 9), 0) AS failed_auth_rate {pairs(300)} GROUP BY e.line_id)
- SELECT * FROM r JOIN e USING (line_id) JOIN o USING (line_id)"""
-
-
 def in_files(rows: DataFrame, ts: str, late: Column | None = None, files: int = 4) -> tuple[str, DataFrame]:
     """Rows by time in several files, one micro-batch each; `late` rows of a file's last 500 seconds come one later."""
     spark = rows.sparkSession

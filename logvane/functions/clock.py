@@ -8,7 +8,7 @@ from __future__ import annotations
 from logvane.functions.rules import quote
 
 # --- fixed values ---
-MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
+MONTHS = ("Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec")
 ISO_TIME = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,6})?)?(Z|[+-]\d{2}:\d{2})?)?$"
 ACCESS_TIME = r"^\s*\d{1,2}/\w{3}/\d{4}:\d{1,2}:\d{1,2}:\d{1,2}(\s|$)"
 
@@ -19,10 +19,7 @@ def _number(parts: str, index: int) -> str:
 
 def _month(name: str) -> str:
     """1..12, or null when `name` is no three-letter month."""
-    position = f"instr('{MONTHS}', {name})"
-    return (
-        f"CASE WHEN length({name}) = 3 AND {position} % 3 = 1 THEN int(({position} + 2) / 3) END"
-    )
+    return f"nullif(array_position(array({', '.join(map(quote, MONTHS))}), {name}), 0)"
 
 
 def _instant(year: str, month: str, day: str, parts: str, first: int) -> str:

@@ -28,10 +28,6 @@ def contains_any(text: str, words: Iterable[str]) -> str:
     return "(" + " OR ".join(f"contains({text}, {quote(w)})" for w in words) + ")"
 
 
-def starts_with_any(text: str, prefixes: Iterable[str]) -> str:
-    return "(" + " OR ".join(f"startswith({text}, {quote(p)})" for p in prefixes) + ")"
-
-
 def is_in(value: str, options: Iterable[object]) -> str:
     return f"{value} IN ({', '.join(quote(o) for o in options)})"
 

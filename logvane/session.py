@@ -61,12 +61,6 @@ def shared_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder, so a lost executor costs no recomputation."""
-    shared_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stage(df: DataFrame) -> DataFrame:
     """Write `df` as a Parquet table in the shared folder and read it back.
 

@@ -10,6 +10,7 @@ EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 IPV6 = (
     r"\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b"
     r"|\b[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*)?"
+    r"|(?<![0-9A-Za-z:])::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})*(?![0-9A-Za-z:])"
 )
 IP = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
 RETENTION_DAYS = 90
@@ -37,11 +38,6 @@ def append_anomalies(scored: DataFrame, path: str, ts: str | None = None) -> Non
     append(scored.filter("is_anomaly"), path, ts)
 
 
-def fields_as_json(columns: list[str]) -> Column:
-    """The named columns as one JSON text; times in ISO form."""
-    return F.to_json(F.struct(*columns))
-
-
 def within_retention(
     df: DataFrame, as_of: Column, days: int = RETENTION_DAYS, ts: str = "event_date"
 ) -> DataFrame:
