@@ -118,6 +118,31 @@ def test_mixture_likelihood(spark):
     assert mixture.free_parameters == 2 + 3 + 0
 
 
+def test_mixture_fit_finds_the_parts(spark):
+    """Parts of known place, share and shape; a constant direction does no harm."""
+    rng = np.random.default_rng(4)
+    truth = [(900, [0, 0], [[1, 0.5], [0.5, 1]]), (450, [6, 0], [[0.5, 0], [0, 2]]), (150, [0, 9], [[0.2, 0], [0, 0.2]])]
+    x = np.vstack([rng.multivariate_normal(m, c, n) for n, m, c in truth])
+    x = np.hstack([x, np.full((len(x), 1), 3.0)])
+    found = gmm.fit_mixture(stage(frame(spark, x)), 3, 4)
+    order = np.argsort(-found.weights)
+    assert found.weights[order] == pytest.approx([0.6, 0.3, 0.1], abs=0.03)
+    for at, (_, mean, cov) in zip(order, truth):
+        assert found.means[at] == pytest.approx([*mean, 3.0], abs=0.25)
+        assert found.covariances[at][:2, :2] == pytest.approx(np.array(cov), abs=0.35)
+    again = gmm.fit_mixture(stage(frame(spark, x).repartition(2)), 3, 4)
+    assert again.means == pytest.approx(found.means)
+
+
+def test_a_pass_sums_what_one_machine_would(spark):
+    x = np.random.default_rng(5).normal(0, 1, (300, 3))
+    mixtures = [gmm._start(x, 2, np.random.default_rng(i)) for i in range(3)]
+    sums, plain = gmm._pass(frame(spark, x), "features", mixtures), gmm._Sums(3, 2, 3)
+    plain.add(mixtures, x)
+    for name in ("likelihood", "weight", "first", "second"):
+        assert getattr(sums, name) == pytest.approx(getattr(plain, name))
+
+
 def test_scaler_keeps_constant_columns(spark):
     rows = frame(spark, [[1.0, 5.0], [3.0, 5.0]])
     scaler = vectors.fit_scaler(rows)
