@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.registry import ALERTS, ANOMALIES, AS_OF, FEEDBACK, query
 from checks.windows import EV, parsed_lines
 from logvane.operators import cooldown, counting
 from logvane.plans import alerting, feedback, history, stats
+from logvane.session import shared_checkpoint_dir
 from logvane.sources import derived, sinks
+from logvane.sources.store import Store
 
 A, FB, AL = f"({ANOMALIES})", f"({FEEDBACK})", f"({ALERTS})"
 LOGS = "SELECT event_id AS id, ts AS created_at, '10.0.' || CAST(user_id % 2 AS VARCHAR) || '.' || CAST(user_id % 8 AS VARCHAR) AS source_ip, 'user' || CAST(user_id AS VARCHAR) AS username, event_type, value FROM events"
@@ -51,10 +55,17 @@ def alerts_page(spark, sf):
 
 @query("upsert_review", f"SELECT id, CASE WHEN id % 9 = 0 THEN 'low' ELSE risk_level END AS risk_level, risk_score, CASE WHEN id % 9 = 0 THEN true END AS reviewed FROM {A}")
 def upsert_review(spark, sf):
+    """A stored table after reviews have come in: only days with reviewed rows are written again."""
     reviews = derived.feedback(spark, sf).groupBy(F.col("anomaly_id").alias("id")).agg(
         F.lit("low").alias("risk_level"), F.lit(True).alias("reviewed")
     )
-    return history.apply_updates(derived.anomalies(spark, sf), reviews).select("id", "risk_level", "risk_score", "reviewed")
+    rows = derived.anomalies(spark, sf).withColumns(
+        {"created_at": F.col("created_at").cast("timestamp"), "reviewed": F.lit(None).cast("boolean")}
+    )
+    table = Store(spark, f"{shared_checkpoint_dir(spark).rstrip('/')}/reviewed-{uuid.uuid4().hex}")
+    table.write(rows, "all")
+    table.update(reviews)
+    return table.read().select("id", "risk_level", "risk_score", "reviewed")
 
 
 @query("training_pull", f"SELECT id, risk_score FROM {A} WHERE created_at >= {AS_OF} - INTERVAL 720 HOUR AND risk_score <= 0.6")

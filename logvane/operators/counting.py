@@ -68,16 +68,33 @@ def around(
     return found.withColumn(name, F.coalesce(name, F.lit(0)))
 
 
+def _by_kind(df: DataFrame, *kept: str) -> DataFrame:
+    """`kept` once per key a row can be found by: its address, its user, and both; an empty one is none."""
+    ip, user = (F.when(F.col(c) != "", F.col(c)) for c in ("source_ip", "username"))
+    no = F.lit("")
+    kinds = F.array(
+        *[
+            F.struct(F.lit(kind).alias("_kind"), a.alias("_a"), b.alias("_b"), F.lit(sign).alias("_sign"))
+            for kind, a, b, sign in (("ip", ip, no, 1), ("user", no, user, 1), ("both", ip, user, -1))
+        ]
+    )
+    known = F.filter(kinds, lambda k: k["_a"].isNotNull() & k["_b"].isNotNull())
+    return df.select(*kept, F.inline(known))
+
+
 def related_logs(
     anomalies: DataFrame, logs: DataFrame, within_sec: int = 300, ts: str = "created_at"
 ) -> DataFrame:
-    """Per anomaly, how many logs share its address or its user within the distance."""
-    by_ip = around(anomalies, logs, ["source_ip"], within_sec, ts, "same_ip")
-    by_user = around(by_ip, logs, ["username"], within_sec, ts, "same_user")
-    both = around(by_user, logs, ["source_ip", "username"], within_sec, ts, "same_both")
-    return both.withColumn(
-        "related_logs", F.col("same_ip") + F.col("same_user") - F.col("same_both")
+    """Per anomaly, how many logs share its address or its user within the distance.
+
+    Logs that share both count once: all three counts come from one pass over the logs.
+    """
+    counted = around(
+        _by_kind(anomalies, "id", ts), _by_kind(logs, ts), ["_kind", "_a", "_b"], within_sec, ts, "_near"
     )
+    totals = counted.groupBy("id").agg(F.sum(F.col("_sign") * F.col("_near")).alias("related_logs"))
+    found = anomalies.join(totals, "id", "left")
+    return found.withColumn("related_logs", F.coalesce("related_logs", F.lit(0).cast("long")))
 
 
 def related_logs_of(
@@ -88,7 +105,7 @@ def related_logs_of(
         F.col("id").alias("anomaly_id"),
         F.col(ts).alias("_at"),
         F.col("source_ip").alias("_ip"),
-        F.col("username").alias("_user"),
+        F.when(F.col("username") != "", F.col("username")).alias("_user"),
     )
     close = F.abs(_seconds(ts) - _seconds("_at")) <= within_sec
     # the days and times around all asked ones, as scalars: logs laid out by day read only those
