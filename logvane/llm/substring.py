@@ -20,6 +20,7 @@ Columns besides doc_id and text are kept as they are, whatever their names.
 
 from __future__ import annotations
 
+import math
 from itertools import compress
 
 import numpy as np
@@ -31,6 +32,8 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from logvane.llm.common import arrow_map, hash_words, mix, window_hashes
 
 WINDOW = 13
+#: Bytes of text for every set of hashes that meets in one task; about 19 bytes are kept of a window.
+BUCKET_BYTES = 8 << 20
 _LAST = np.iinfo(np.int64).max
 _CHUNK, _LOCAL, _WINDOWS = 0, 1, 2
 
@@ -169,11 +172,14 @@ def _back_to_documents(size: int):
 def repeated_spans(docs: DataFrame, size: int = WINDOW, buckets: int | None = None) -> DataFrame:
     """Per text with repeats: `_key` (hash of doc_id and text), and its intervals of words.
 
-    `buckets` sets of hashes meet in one task each; four per shuffle partition by default, so their
-    size follows the cluster's own setting, and at least 256, so that a byte of each hash is saved.
+    `buckets` sets of hashes meet in one task each; by default as many as there are `BUCKET_BYTES` of
+    text, so a set's size does not grow with the table, and at least 256, so that a byte of each hash
+    is saved.
     """
-    spark = docs.sparkSession
-    buckets = max(256, buckets or 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if not buckets:
+        text_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        buckets = math.ceil(text_bytes / BUCKET_BYTES)
+    buckets = max(256, buckets)
     keyed = docs.select("doc_id", "text", _key()).where("text is not null")
     rows = arrow_map(
         keyed, _chunk_rows(size, buckets), "bucket int, chunk long, kind int, blob binary"
