@@ -96,14 +96,6 @@ def count_ngrams(training: DataFrame) -> DataFrame:
     return counted.groupBy("gram").agg(F.sum("n").alias("n"))
 
 
-def levels(n: np.ndarray) -> np.ndarray:
-    return 1 + np.floor(np.log(n) / math.log(BASE) + 1e-9).astype(np.int64)
-
-
-def _level_column(n: Column) -> Column:
-    return (1 + F.floor(F.log(n) / math.log(BASE) + 1e-9)).cast("long")
-
-
 def _start(grams: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         seed = mix(grams + np.uint64(level) * _PAIR)
