@@ -1,7 +1,8 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Tokens are words with A to Z lower-cased, then one end per text. Words and pairs of neighbours are
-counted in Spark over all training documents (`split_mod`). The filter holds, for every word and
+counted over all training documents (`split_mod`): each chunk's counts travel in packed columns and
+are added up by sets of hashes. The filter holds, for every word and
 every pair, its count quantised on a log scale: level q means a count
 of about `BASE` ** (q - 1), and the n-gram is stored once for each level 1 … q. A lookup probes level
 after level until one is missing, so an n-gram costs bits by the logarithm of its count, and counts
@@ -27,14 +28,16 @@ repeated results.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logvane.llm.common import arrow_map, hash_words, mix, stable_bucket
+from logvane.llm.common import SPACES, arrow_map, hash_words, mix, stable_bucket
 from logvane.session import stage
 
 SPLIT_MOD = 10
@@ -47,19 +50,55 @@ SEGMENT_BYTES = 64 << 20
 MU = 300.0
 FREQUENT = 1 << 19
 _PRIOR = 0.1
+#: Bytes of text for every set of n-grams that is counted in one task, and the least number of sets.
+SET_BYTES, LEAST_SETS = 8 << 20, 16
+#: N-grams that are laid out at once, and blocks that one task builds together.
+LAID_GRAMS, BUILT_BLOCKS = 1 << 20, 32
 
 _END = hash_words([b""])[0] & ~np.uint64(1)
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[list(SPACES.encode())] = True
+#: What is left of eight bytes if a word has 0 … 8 more of them.
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer words are hashed one by one.
+_LONG_WORD = 64
 
 
-def tokens(text: str | None) -> np.ndarray:
-    """Hashes of a text's words and its end; the lowest bit is 0."""
-    words = (text or "").encode().lower().split()
-    return np.append(hash_words(words) & ~np.uint64(1), _END)
+def _hash_pieces(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Hashes of the words at `starts`, eight bytes of all words at once; eight bytes follow the last."""
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    with np.errstate(over="ignore"):
+        out = mix(sizes.astype(np.uint64) * _PAIR ^ eight[starts] & _FIRST_BYTES[np.minimum(sizes, 8)])
+        left = np.flatnonzero(sizes > 8)
+        for at in range(8, _LONG_WORD, 8):
+            more = eight[starts[left] + at] & _FIRST_BYTES[np.minimum(sizes[left] - at, 8)]
+            out[left] = mix(out[left] * _PAIR ^ more)
+            left = left[sizes[left] > at + 8]
+    for k in left.tolist():
+        out[k] = xxhash.xxh64_intdigest(data[starts[k] : starts[k] + sizes[k]])
+    return out
+
+
+def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, each text with its end; the lowest bit is 0. And their numbers."""
+    parts = [(text or "").encode().lower() for text in texts]
+    data = b"\n".join([*parts, bytes(8)])
+    is_word = ~_IS_SPACE[np.frombuffer(data, np.uint8, len(data) - 8)]
+    edges = np.flatnonzero(np.diff(is_word, prepend=False))
+    starts, ends = edges[::2], edges[1::2]
+    words = _hash_pieces(data, starts, ends - starts) & ~np.uint64(1)
+    upto = np.searchsorted(starts, np.cumsum([len(part) + 1 for part in parts]))
+    last = upto + np.arange(len(parts))
+    out = np.full(len(words) + len(parts), _END)
+    inside = np.ones(len(out), bool)
+    inside[last] = False
+    out[inside] = words
+    return out, np.diff(last, prepend=-1)
 
 
 def contexts(words: np.ndarray) -> np.ndarray:
-    """The token before each; a text starts after an end."""
+    """The token before each; a text starts after an end, be it that of the text before."""
     return np.concatenate([[_END], words[:-1]])
 
 
@@ -78,22 +117,49 @@ def held_out(doc_id: Column, split_mod: int = SPLIT_MOD) -> Column:
     return stable_bucket(doc_id, split_mod) == 0
 
 
+def _runs(sorted_keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First and behind-last place of each run of equal keys."""
+    edges = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1], [True]]))
+    return zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)
+
+
+def _add_up(found: pa.Table) -> pa.Table:
+    """One set of n-grams: the counts of all chunks added."""
+    grams, n = (
+        np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in found.column(name)])
+        for name, kind in (("grams", np.int64), ("counts", np.uint32))
+    )
+    order = np.argsort(grams)
+    grams, n = grams[order], n[order].astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    return pa.table({"gram": grams[first], "n": np.add.reduceat(n, first)})
+
+
 def count_ngrams(training: DataFrame) -> DataFrame:
-    """`gram` and `n` over all texts."""
+    """`gram` and `n` over all texts.
+
+    Each chunk's n-grams are counted, dealt into sets by hash, as many as the text asks for, and
+    travel in packed columns; one task adds up a set.
+    """
+    size = training.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    sets = max(LEAST_SETS, -(-size // SET_BYTES))
 
     def work(rows: dict[str, list]):
-        texts = [tokens(text) for text in rows["text"]]
-        words = np.concatenate(texts)
-        both = np.concatenate([contexts(t) for t in texts])
-        grams, n = np.unique(pairs(both, words), return_counts=True)
-        singles, counts = np.unique(words, return_counts=True)
+        words, _ = tokens(rows["text"])
+        grams, n = np.unique(np.concatenate([words, pairs(contexts(words), words)]), return_counts=True)
+        number = ((grams >> np.uint64(1)) % np.uint64(sets)).astype(np.int32)
+        order = np.argsort(number)
+        grams, n, number = grams[order], n[order].astype(np.uint32), number[order]
+        cuts = list(_runs(number))
         yield {
-            "gram": np.concatenate([singles, grams]).view(np.int64),
-            "n": np.concatenate([counts, n]),
+            "number": number[[a for a, _ in cuts]],
+            "grams": [grams[a:b].tobytes() for a, b in cuts],
+            "counts": [n[a:b].tobytes() for a, b in cuts],
         }
 
-    counted = arrow_map(training.select("text"), work, "gram long, n long", chunk_bytes=6 << 20)
-    return counted.groupBy("gram").agg(F.sum("n").alias("n"))
+    schema = "number int, grams binary, counts binary"
+    counted = arrow_map(training.select("text"), work, schema, chunk_bytes=6 << 20)
+    return counted.groupBy("number").applyInArrow(_add_up, "gram long, n long")
 
 
 def _start(grams: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +171,7 @@ def _start(grams: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
 def _place(seed: np.ndarray, step: np.ndarray, probe: int) -> np.ndarray:
     """The bit of a probe within its block."""
     with np.errstate(over="ignore"):
-        return ((seed + np.uint64(probe) * step) >> np.uint64(20)).astype(np.int64) % BLOCK_BITS
+        return ((seed + np.uint64(probe) * step) >> np.uint64(20) & np.uint64(BLOCK_BITS - 1)).view(np.int64)
 
 
 def _build_block(found: pa.Table) -> pa.Table:
@@ -129,6 +195,66 @@ def _build_block(found: pa.Table) -> pa.Table:
 _BLOCK_MASK = (1 << (_WORD_SHIFT - 8)) - 1
 
 
+def _block_of(grams: np.ndarray, blocks: int | np.ndarray) -> np.ndarray:
+    return (grams.view(np.int64) >> 8 & _BLOCK_MASK) % blocks
+
+
+def _lay_out(levelled: DataFrame, blocks: tuple[int, ...]) -> DataFrame:
+    """The blocks of the filter as rows; n-grams travel packed, by segment and `BUILT_BLOCKS` blocks."""
+    sizes = np.array(blocks)
+    groups = -(-sizes // BUILT_BLOCKS)
+    before = np.cumsum(groups) - groups
+
+    def packed(grams: np.ndarray, level: np.ndarray) -> pa.RecordBatch:
+        segment = (grams.view(np.uint64) >> np.uint64(_WORD_SHIFT)).astype(np.int64) % len(sizes)
+        group = before[segment] + _block_of(grams, sizes[segment]) // BUILT_BLOCKS
+        order = np.argsort(group)
+        grams, level, group, segment = grams[order], level[order], group[order], segment[order]
+        cuts = list(_runs(group))
+        at = [a for a, _ in cuts]
+        columns = [
+            pa.array(segment[at]),
+            pa.array(group[at]),
+            pa.array([grams[a:b].tobytes() for a, b in cuts], pa.binary()),
+            pa.array([level[a:b].tobytes() for a, b in cuts], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["segment", "group", "grams", "levels"])
+
+    def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            held.append(tuple(batch.column(name).to_numpy() for name in ("gram", "level")))
+            rows += batch.num_rows
+            if rows >= LAID_GRAMS:
+                yield packed(*map(np.concatenate, zip(*held, strict=True)))
+                held, rows = [], 0
+        if rows:
+            yield packed(*map(np.concatenate, zip(*held, strict=True)))
+
+    def build(found: pa.Table) -> pa.Table:
+        grams, level = (
+            np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in found.column(name)])
+            for name, kind in (("grams", np.int64), ("levels", np.int8))
+        )
+        segment = found.column("segment")[0].as_py()
+        block = _block_of(grams, blocks[segment])
+        order = np.argsort(block)
+        whole = pa.table(
+            {
+                "segment": np.full(len(grams), segment),
+                "block": block[order],
+                "gram": grams[order],
+                "level": level[order],
+            }
+        )
+        return pa.concat_tables([_build_block(whole.slice(a, b - a)) for a, b in _runs(block[order])])
+
+    placed = levelled.select("gram", F.col("level").cast("byte").alias("level")).mapInArrow(
+        pack, "segment long, group long, grams binary, levels binary"
+    )
+    return placed.groupBy("group").applyInArrow(build, "segment long, block long, bits binary")
+
+
 class Segment:
     """The n-grams of every word whose hash falls to this segment."""
 
@@ -141,15 +267,17 @@ class Segment:
 
     def levels(self, grams: np.ndarray) -> np.ndarray:
         """The quantised count of each n-gram: probe levels until one is missing."""
-        block = (grams.view(np.int64) >> 8 & _BLOCK_MASK) % self.blocks * BLOCK_BITS
         found, left, level = np.zeros(len(grams), np.int64), np.arange(len(grams)), 0
+        block = _block_of(grams, self.blocks) * BLOCK_BITS
         while len(left):
             level += 1
             seed, step = _start(grams[left], level)
             for k in range(PROBES):
-                place = block[left] + _place(seed, step, k)
-                held = (self.bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1
-                left, seed, step = left[held], seed[held], step[held]
+                place = block + _place(seed, step, k)
+                held = (self.bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).view(bool)
+                if not held.all():
+                    at = np.flatnonzero(held)
+                    left, block, seed, step = left[at], block[at], seed[at], step[at]
             found[left] = level
         return found
 
@@ -190,38 +318,33 @@ def fit(training: DataFrame) -> Model:
     placed = levelled.withColumn("segment", F.pmod(word_bits, F.lit(segments)).cast("long"))
     sizes = {r.segment: r.items for r in placed.groupBy("segment").agg(F.sum("level").alias("items")).collect()}
     blocks = tuple(max(1, -(-sizes.get(k, 0) * BITS_PER_ITEM // BLOCK_BITS)) for k in range(segments))
-    in_segment = F.get(F.array(*map(F.lit, blocks)), F.col("segment").cast("int"))
-    laid = placed.withColumn("block", F.pmod(F.shiftright("gram", 8).bitwiseAND(_BLOCK_MASK), in_segment).cast("long"))
-    built = (
-        laid.select("segment", "block", "gram", "level")
-        .groupBy("segment", "block")
-        .applyInArrow(_build_block, "segment long, block long, bits binary")
-    )
-    return Model(total or 0, distinct or 0, counts, stage(built), blocks)
+    return Model(total or 0, distinct or 0, counts, stage(_lay_out(levelled, blocks)), blocks)
 
 
 def _sum_by_text(values: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner, values, n)
 
 
-def _parts(segment: Segment, model_total: int, distinct: int, texts: list[np.ndarray]) -> np.ndarray:
-    """Per text, what this segment adds to log10 of its probability."""
-    words = np.concatenate(texts)
-    before = np.concatenate([contexts(t) for t in texts])
-    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    floor = _PRIOR / (model_total + _PRIOR * (distinct + 1)) * MU
-    scale = MU / (model_total + _PRIOR * (distinct + 1))
+def _parts(segment: Segment, totals: tuple[int, int], words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Per text, what this segment adds to log10 of its probability.
+
+    The contexts of a text are its own tokens, as it starts after an end and ends with one; so a token
+    brings its part as a context with it.
+    """
+    total, distinct = totals
+    scale = MU / (total + _PRIOR * (distinct + 1))
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    mine = segment.mine(words)
+    own = words[mine]
 
     def count(grams: np.ndarray) -> np.ndarray:
         unique, inverse = np.unique(grams, return_inverse=True)
         level = segment.levels(unique)
         return np.where(level > 0, BASE ** (level - 1.0), 0.0)[inverse]
 
-    ends, starts = segment.mine(words), segment.mine(before)
-    joint = count(pairs(before[ends], words[ends]))
-    prior = count(words[ends]) * scale + floor
-    out = _sum_by_text(np.log10(joint + prior), owner[ends], len(texts))
-    return out - _sum_by_text(np.log10(count(before[starts]) + MU), owner[starts], len(texts))
+    joint, single = count(pairs(contexts(words)[mine], own)), count(own)
+    value = np.log10(joint + single * scale + _PRIOR * scale) - np.log10(single + MU)
+    return _sum_by_text(value, owner[mine], len(lengths))
 
 
 def _frequent(model: Model) -> tuple[np.ndarray, np.ndarray, int]:
@@ -252,13 +375,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     grams, logs, _ = _frequent(model)
     frequent = spark.sparkContext.broadcast((grams, logs))
     first = spark.sparkContext.broadcast(model.segment(0))
-    total, distinct = model.total, model.distinct
+    totals = total, distinct = model.total, model.distinct
 
     def work(rows: dict[str, list]):
         known, log_count = frequent.value
-        texts = [tokens(text) for text in rows["text"]]
-        words = np.concatenate(texts)
-        owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+        words, lengths = tokens(rows["text"])
+        owner = np.repeat(np.arange(len(lengths)), lengths)
         unique, inverse = np.unique(words, return_inverse=True)
         at = np.minimum(np.searchsorted(known, unique), max(len(known) - 1, 0))
         is_known = known[at] == unique if len(known) else np.zeros(len(unique), bool)
@@ -267,15 +389,15 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         both = np.stack([owner[rare], inverse[rare]], 1)
         rare_pairs, times = np.unique(both[:, 0] * len(unique) + both[:, 1], return_counts=True)
         rare_owner, rare_word = rare_pairs // max(len(unique), 1), unique[rare_pairs % max(len(unique), 1)]
-        cuts = np.searchsorted(rare_owner, np.arange(len(texts) + 1))
+        cuts = np.searchsorted(rare_owner, np.arange(len(lengths) + 1))
         ids = rare_word.view(np.int64)
         yield {
             "doc_id": rows["doc_id"],
             "key": rows["key"],
-            "n_tokens": [len(t) for t in texts],
-            "known": _sum_by_text(is_known[inverse].astype(float), owner, len(texts)).astype(np.int64),
-            "base": _sum_by_text(value[inverse], owner, len(texts)),
-            "part": _parts(first.value, total, distinct, texts),
+            "n_tokens": lengths,
+            "known": _sum_by_text(is_known[inverse].astype(float), owner, len(lengths)).astype(np.int64),
+            "base": _sum_by_text(value[inverse], owner, len(lengths)),
+            "part": _parts(first.value, totals, words, lengths),
             "rare": [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
             "times": [times[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)],
         }
@@ -306,8 +428,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         held = spark.sparkContext.broadcast(model.segment(number))
 
         def more(rows: dict[str, list], held=held):
-            texts = [tokens(text) for text in rows["text"]]
-            yield {"key": rows["key"], "more": _parts(held.value, total, distinct, texts)}
+            yield {"key": rows["key"], "more": _parts(held.value, totals, *tokens(rows["text"]))}
 
         extra = arrow_map(keyed, more, "key long, more double", chunk_bytes=3 << 20)
         extra = extra.dropDuplicates(["key"])

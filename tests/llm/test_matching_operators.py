@@ -269,6 +269,35 @@ def test_filter_finds_every_ngram_at_its_level():
     assert (segment.levels(random_.integers(0, 2**63, 5000, dtype=np.uint64)) == 0).mean() > 0.95
 
 
+def test_words_of_all_lengths_are_told_apart():
+    base = "abcdefgh" * 40
+    odd = [base[:k] for k in range(1, 200)] + [base[:k] + "\0" for k in range(0, 140)] + ["é" * 40, "a\u00a0b"]
+    odd += [base[:k] + "x" + base[k:100] for k in range(0, 99)]
+    texts = [None, "", " \t", *odd, "\x0b".join(odd), "\r\n ".join(odd) + " ", "".join(odd).upper()]
+    hashes, lengths = lm.tokens(texts)
+    expected = [w for text in texts for w in lm_tokens(text)]
+    assert lengths.tolist() == [len(lm_tokens(text)) for text in texts]
+    met = set(zip(expected, hashes.tolist(), strict=True))
+    assert len(met) == len(set(expected)) == len(set(hashes.tolist())) and not (hashes & np.uint64(1)).any()
+
+
+def test_counts_travel_in_packed_columns(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SET_BYTES", 64)
+    df = spark.createDataFrame(LM_TEXTS, "doc_id long, text string").repartition(3)
+    counted = lm.count_ngrams(df)
+    # no aggregation, so no shuffled row, per n-gram
+    assert "HashAggregate" not in counted._jdf.queryExecution().executedPlan().toString()
+    words, both = collections.Counter(), collections.Counter()
+    for _, text in LM_TEXTS:
+        found = lm_tokens(text)
+        words.update(found)
+        both.update(zip([None, *found], found))
+    rows = counted.collect()
+    assert len({r.gram for r in rows}) == len(rows)
+    assert sorted(r.n for r in rows if r.gram % 2 == 0) == sorted(words.values())
+    assert sorted(r.n for r in rows if r.gram % 2) == sorted(both.values())
+
+
 def test_nothing_to_learn_or_to_score(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     model = lm.fit(df.limit(0))
