@@ -78,6 +78,32 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
+#: What is left of eight bytes if a piece has 0 … 8 more of them.
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer pieces are looked at one by one.
+_LONG_PIECE = 64
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _eights(data: bytes, starts: np.ndarray, sizes: np.ndarray, at: int) -> np.ndarray:
+    """Up to eight bytes of each piece from its byte `at` on, zeros behind its end."""
+    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    return eight[starts + at] & _FIRST_BYTES[np.minimum(sizes - at, 8)]
+
+
+def hash_pieces(data: bytes, starts: np.ndarray, sizes: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of pieces of `data`, eight bytes of all of them at once; eight bytes follow the last."""
+    with np.errstate(over="ignore"):
+        out = mix(sizes.astype(np.uint64) * _STEP ^ _eights(data, starts, sizes, 0) ^ np.uint64(seed))
+        left = np.flatnonzero(sizes > 8)
+        for at in range(8, _LONG_PIECE, 8):
+            out[left] = mix(out[left] * _STEP ^ _eights(data, starts[left], sizes[left], at))
+            left = left[sizes[left] > at + 8]
+    for k in left.tolist():
+        out[k] = xxhash.xxh64_intdigest(data[starts[k] : starts[k] + sizes[k]], seed)
+    return out
+
+
 def window_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
     """Rabin-Karp hash of each run of `size` consecutive word hashes, modulo 2 ** 64.
 

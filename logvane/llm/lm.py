@@ -33,11 +33,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logvane.llm.common import SPACES, arrow_map, hash_words, mix, stable_bucket
+from logvane.llm.common import SPACES, arrow_map, hash_pieces, hash_words, mix, stable_bucket
 from logvane.session import stage
 
 SPLIT_MOD = 10
@@ -59,25 +58,6 @@ _END = hash_words([b""])[0] & ~np.uint64(1)
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[list(SPACES.encode())] = True
-#: What is left of eight bytes if a word has 0 … 8 more of them.
-_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
-#: Longer words are hashed one by one.
-_LONG_WORD = 64
-
-
-def _hash_pieces(data: bytes, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Hashes of the words at `starts`, eight bytes of all words at once; eight bytes follow the last."""
-    eight = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
-    with np.errstate(over="ignore"):
-        out = mix(sizes.astype(np.uint64) * _PAIR ^ eight[starts] & _FIRST_BYTES[np.minimum(sizes, 8)])
-        left = np.flatnonzero(sizes > 8)
-        for at in range(8, _LONG_WORD, 8):
-            more = eight[starts[left] + at] & _FIRST_BYTES[np.minimum(sizes[left] - at, 8)]
-            out[left] = mix(out[left] * _PAIR ^ more)
-            left = left[sizes[left] > at + 8]
-    for k in left.tolist():
-        out[k] = xxhash.xxh64_intdigest(data[starts[k] : starts[k] + sizes[k]])
-    return out
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -87,7 +67,7 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     is_word = ~_IS_SPACE[np.frombuffer(data, np.uint8, len(data) - 8)]
     edges = np.flatnonzero(np.diff(is_word, prepend=False))
     starts, ends = edges[::2], edges[1::2]
-    words = _hash_pieces(data, starts, ends - starts) & ~np.uint64(1)
+    words = hash_pieces(data, starts, ends - starts) & ~np.uint64(1)
     upto = np.searchsorted(starts, np.cumsum([len(part) + 1 for part in parts]))
     last = upto + np.arange(len(parts))
     out = np.full(len(words) + len(parts), _END)

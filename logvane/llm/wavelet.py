@@ -27,19 +27,21 @@ import json
 import os
 import re
 import uuid
+from dataclasses import dataclass
 from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from logvane.llm.common import Memory, arrow_map
+from logvane.llm.common import arrow_map, hash_pieces
 from logvane.session import shared_checkpoint_dir
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -48,21 +50,120 @@ MAGIC = b"LVWAVE1\n"
 BLOCK = 1 << 16
 #: A shard is closed once it holds so many tokens.
 SHARD_TOKENS = 4 << 20
-#: Stretches of text of which a Python worker keeps the ids, twice as many at most.
+#: Pieces of text of which a Python worker keeps the ids, twice as many at most.
 REMEMBERED = 500_000
 #: Marks that may end a word, and the letters up to here, on which all libraries agree.
-_MARKS = ".,;:!?"
+_MARKS = b".,;:!?"
 _PLAIN_LETTERS = "\u0250"
+#: What stands for a space in a byte-level vocabulary.
+_SPACE = "\u0120"
+_SEED = 0x5851F42D4C957F2D
+_IS_LETTER, _IS_MARK = np.zeros(256, bool), np.zeros(256, bool)
+_IS_LETTER[[c for c in range(128) if chr(c).isalpha()]] = True
+_IS_MARK[list(_MARKS)] = True
+#: Marks and the line feed are one token each.
+_SINGLE = _MARKS + b"\n"
+_SINGLE_PLACE = np.zeros(256, np.int64)
+_SINGLE_PLACE[list(_SINGLE)] = np.arange(len(_SINGLE))
+#: Bytes of text that are encoded at once.
+CHUNK_BYTES = 4 << 20
+
+
+def _byte_letters() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = sorted(set(range(256)) - set(own))
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+def _taken(pool: np.ndarray, places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Runs of `pool`, one behind the other."""
+    upto = np.cumsum(sizes)
+    return pool[np.repeat(places - upto + sizes, sizes) + np.arange(sizes.sum())]
+
+
+class Known:
+    """Ids of pieces by 128-bit hashes (`low` ascending); what has not been met for long is forgotten."""
+
+    def __init__(self, limit: int):
+        self.limit, self.now = limit, 0
+        self.low, self.high = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.places, self.sizes, self.met = (np.zeros(0, np.int64) for _ in range(3))
+        self.pool = np.zeros(0, "<u4")
+
+    def begin(self) -> None:
+        self.now += 1
+        if len(self.low) > 2 * self.limit:
+            kept = np.sort(np.argsort(self.met, kind="stable")[-self.limit :])
+            self.pool = _taken(self.pool, self.places[kept], self.sizes[kept])
+            self.low, self.high, self.sizes, self.met = (
+                x[kept] for x in (self.low, self.high, self.sizes, self.met)
+            )
+            self.places = np.cumsum(self.sizes) - self.sizes
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each of them stands, and whether it does."""
+        if not len(self.low):
+            return np.zeros(len(low), np.int64), np.zeros(len(low), bool)
+        at = np.minimum(np.searchsorted(self.low, low), len(self.low) - 1)
+        held = (self.low[at] == low) & (self.high[at] == high)
+        self.met[at[held]] = self.now
+        return at, held
+
+    def add(self, low: np.ndarray, high: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        places = len(self.pool) + np.cumsum(sizes) - sizes
+        at = np.searchsorted(self.low, low)
+        self.low, self.high = np.insert(self.low, at, low), np.insert(self.high, at, high)
+        self.places, self.sizes = np.insert(self.places, at, places), np.insert(self.sizes, at, sizes)
+        self.met = np.insert(self.met, at, self.now)
+        self.pool = np.concatenate([self.pool, ids])
+
+
+@dataclass(frozen=True)
+class Pieces:
+    """Pieces of texts that are encoded by themselves, and what stands around each.
+
+    A piece follows a space (`spaced`) or a line feed, and a mark may follow it.
+    """
+
+    data: bytes
+    before: np.ndarray
+    starts: np.ndarray
+    ends: np.ndarray
+    mark: np.ndarray
+
+    @classmethod
+    def of(cls, rests: list[bytes]) -> Pieces:
+        """The pieces of texts that begin with a space that a non-space follows."""
+        data = b"".join([*rests, b" " * 8])
+        raw = np.frombuffer(data, np.uint8, len(data) - 7)
+        letter, mark = _IS_LETTER[raw], _IS_MARK[raw]
+        stop = raw == ord(" ")
+        feed = np.flatnonzero(raw == ord("\n"))
+        stop[feed[letter[feed + 1] & (letter[feed - 1] | mark[feed - 1])]] = True
+        stops = np.flatnonzero(stop)
+        before, ends = stops[:-1], stops[1:]
+        marked = mark[ends - 1] & letter[ends - 2]
+        return cls(data, before, before + 1, ends - marked, marked)
+
+    @property
+    def spaced(self) -> np.ndarray:
+        return np.frombuffer(self.data, np.uint8)[self.before] == ord(" ")
+
+    def plain(self) -> np.ndarray:
+        """Whether a piece holds nothing but letters from A to z."""
+        others = np.cumsum(~_IS_LETTER[np.frombuffer(self.data, np.uint8)], dtype=np.int32)
+        return others[self.ends - 1] == others[self.before]
 
 
 class LibraryEncoder:
     """Whole texts to ids with the tokenizers library.
 
-    The vocabulary's pattern always cuts before a space that a non-space follows, and between letters
-    and punctuation that is no apostrophe. So the ids of a text are those of its stretches between
-    such spaces, and a word's do not depend on a full stop after it: the library sees each head, new
-    word, mark and other stretch once. Texts with other spaces, or with one of the vocabulary's special
-    tokens, go to it whole.
+    The vocabulary's pattern always cuts before a space that a non-space follows, around a single line
+    feed between a letter or mark and a letter, and between a letter and a mark. So a text's ids are those
+    of its pieces between such places, and the library sees each head and new piece once. A word of
+    plain letters is one piece of the pattern, so the library's model gets it at once. Texts with other
+    spaces, or with one of the vocabulary's special tokens, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -70,13 +171,27 @@ class LibraryEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         special = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(special) or "(?!)")
         self.odd_space = re.compile(r" (?:\s|$)")
-        self.stretches, self.marks = Memory(REMEMBERED), Memory(REMEMBERED)
+        self.letters = _byte_letters()
+        self.known = Known(REMEMBERED)
         vocabulary = self.tokenizer.get_vocab()
         self.opens = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        self.opens[[k for token, k in vocabulary.items() if token.startswith("\u0120")]] = True
+        self.opens[[k for token, k in vocabulary.items() if token.startswith(_SPACE)]] = True
+        plain = "".join(filter(str.isalpha, map(chr, range(ord(_PLAIN_LETTERS)))))
+        pieces = [x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(f" {plain}.\n{plain}")]
+        spelled = self._spelled(plain.encode())
+        if self.tokenizer.normalizer or pieces != [_SPACE + spelled, ".", self._spelled(b"\n"), spelled]:
+            raise ValueError("the vocabulary takes words of plain letters apart")
+        single = [np.frombuffer(x, "<u4") for x in self._library([chr(c) for c in _SINGLE])]
+        self.singles = np.concatenate(single)
+        if len(self.singles) != len(_SINGLE):
+            raise ValueError("a mark is more than one token")
+
+    def _spelled(self, word: bytes) -> str:
+        return word.decode("latin-1").translate(self.letters)
 
     def _library(self, pieces: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
@@ -99,40 +214,78 @@ class LibraryEncoder:
             out += [data[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         return out
 
+    def _learn(self, pieces: list[bytes], spaced: list[bool], plain: list[bool]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all pieces, and how many each has."""
+        words, others = [], []
+        for k, (piece, after_space, is_plain) in enumerate(zip(pieces, spaced, plain, strict=True)):
+            if is_plain:
+                words.append(_SPACE + piece.decode() if after_space else piece.decode())
+                continue
+            letters = piece.decode()
+            if letters.isalpha() and max(letters) < _PLAIN_LETTERS:
+                words.append(_SPACE + self._spelled(piece) if after_space else self._spelled(piece))
+            else:
+                others.append(k)
+        found = list(map(self.model.tokenize, words))
+        ids = np.fromiter((x.id for tokens in found for x in tokens), "<u4")
+        is_word = np.ones(len(pieces), bool)
+        is_word[others] = False
+        sizes = np.zeros(len(pieces), np.int64)
+        sizes[is_word] = np.fromiter(map(len, found), np.int64, len(found))
+        after = [k for k in others if spaced[k]]
+        bare = [k for k in others if not spaced[k]]
+        rest = dict(zip(after, self._spaced([pieces[k].decode() for k in after]), strict=True))
+        rest |= zip(bare, self._library([pieces[k].decode() for k in bare]), strict=True)
+        sizes[others] = [len(rest[k]) // 4 for k in others]
+        out = np.zeros(sizes.sum(), "<u4")
+        own = np.repeat(is_word, sizes)
+        out[own] = ids
+        out[~own] = np.frombuffer(b"".join([rest[k] for k in others]), "<u4")
+        return out, sizes
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        self.stretches.begin()
-        self.marks.begin()
-        heads, tails = [], []
+        known = self.known
+        known.begin()
+        heads, rests = [], []
         for text in texts:
             odd = not text or self.odd_space.search(text) or self.special.search(text)
-            head, *rest = [text or ""] if odd else text.split(" ")
+            head, space, rest = (text or "", "", "") if odd else text.partition(" ")
             heads.append(head)
-            tails.append(rest)
-        # one look-up a word: what is not known is filled in where it is missing
-        known = self.stretches
-        values = [list(map(known.young.get, rest)) for rest in tails]
-        unmet = {
-            s for rest, ids in zip(tails, values, strict=True) for s, x in zip(rest, ids, strict=True) if x is None
-        }
-        parted, whole = {}, []
-        for s in known.missing(unmet):
-            word = s.rstrip(_MARKS)
-            if word != s and word.isalpha() and max(word) < _PLAIN_LETTERS:
-                parted[s] = (word, s[len(word) :])
-            else:
-                whole.append(s)
-        marks = self.marks.missing(mark for _, mark in parted.values())
-        self.marks.young.update(zip(marks, self._library(marks), strict=True))
-        words = known.missing({word for word, _ in parted.values()} - set(whole))
-        new = [*whole, *words]
-        known.young.update(zip(new, self._spaced(new), strict=True))
-        known.young.update((s, known.young[w] + self.marks.young[m]) for s, (w, m) in parted.items())
-        now = known.young
+            rests.append((space + rest).encode())
+        found = Pieces.of(rests)
+        spaced, lengths = found.spaced, found.ends - found.starts
+        low, high = (
+            hash_pieces(found.data, found.starts, lengths, seed) ^ spaced.astype(np.uint64) for seed in (0, _SEED)
+        )
+        low, first, which = np.unique(low, return_index=True, return_inverse=True)
+        same = (high == high[first][which]).all()
+        high = high[first]
+        _, held = known.find(low, high)
+        new = first[~held]
+        starts, ends = found.starts[new].tolist(), found.ends[new].tolist()
+        texts_of = [found.data[a:b] for a, b in zip(starts, ends, strict=True)]
+        ids, sizes = self._learn(texts_of, spaced[new].tolist(), found.plain()[new].tolist())
+        known.add(low[~held], high[~held], ids, sizes)
+        at, held = known.find(low, high)
+        if not same or not held.all():
+            # two pieces with the same first 64 bits
+            return [np.frombuffer(x, "<u4") for x in self._library([text or "" for text in texts])]
+        # the runs of ids of each piece: the line feed before it, itself, the mark after it
+        pool = np.concatenate([self.singles, known.pool])
+        runs = 1 + ~spaced + found.mark
+        last = np.cumsum(runs)
+        own = last - 1 - found.mark
+        places, sizes = np.zeros(runs.sum(), np.int64), np.ones(runs.sum(), np.int64)
+        places[own], sizes[own] = known.places[at][which] + len(self.singles), known.sizes[at][which]
+        places[own[~spaced] - 1] = _SINGLE.index(b"\n")
+        raw = np.frombuffer(found.data, np.uint8)
+        places[own[found.mark] + 1] = _SINGLE_PLACE[raw[found.ends[found.mark]]]
+        ids = _taken(pool, places, sizes)
+        upto = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], last])]
+        cuts = upto[np.searchsorted(found.before, np.cumsum([0, *map(len, rests)]))]
         return [
-            np.frombuffer(
-                head + b"".join([now[s] if x is None else x for s, x in zip(rest, ids, strict=True)]), "<u4"
-            )
-            for head, rest, ids in zip(self._library(heads), tails, values, strict=True)
+            np.concatenate([np.frombuffer(head, "<u4"), ids[a:b]])
+            for head, a, b in zip(self._library(heads), cuts[:-1], cuts[1:], strict=True)
         ]
 
 
@@ -307,8 +460,11 @@ def write(docs: DataFrame, folder: str, shards: int | None = None, path: str = V
 
         end = np.array([END], "<u4")
         for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                rows = batch.slice(start, 512)
+            size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
+            chunk = (np.cumsum(size, dtype=np.int64) - size) // CHUNK_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), batch.num_rows]
+            for start, stop in zip(cuts[:-1], cuts[1:], strict=True):
+                rows = batch.slice(start, stop - start)
                 texts = rows.column("text").to_pylist()
                 coded = library_encoder(path).encode(texts)
                 held += [np.concatenate([x, end]) for x in coded]

@@ -2,6 +2,7 @@
 
 import base64
 import random
+import re
 import zlib
 
 import numpy as np
@@ -111,6 +112,51 @@ def test_wavelet_of_nothing_and_of_one_token():
         wavelet.WaveletFile(b"something else")
 
 
+def _odd_texts():
+    random_ = random.Random(5)
+    signs = [*"abXyzABz", *"  \n\n.,;:!?", "é", "ß", "日", "7", "'", "'s", "-", "|", "\r", "\t", "\u00a0", "\0", "word", "Other"]
+    texts = ["".join(random_.choices(signs, k=random_.randrange(40))) for _ in range(4000)]
+    return [None, "", "a.\nB", "a.\n\nB", "be.\nShe's,\nwe;\né x.", " ,\nA .\nB", *texts, " ".join(texts[:50])]
+
+
+def _plain_ids(texts):
+    coder = Tokenizer.from_file(wavelet.VOCABULARY)
+    return [coder.encode(text or "", add_special_tokens=False).ids for text in texts]
+
+
+def test_pieces_give_the_librarys_ids_and_words_go_to_its_model():
+    coder, seen = wavelet.LibraryEncoder(wavelet.VOCABULARY), []
+    spaced = coder._spaced
+    coder._spaced = lambda pieces: seen.extend(pieces) or spaced(pieces)
+    texts = [*ODD, *_odd_texts()]
+    assert [x.tolist() for x in coder.encode(texts)] == _plain_ids(texts)
+    # words with marks and line feeds around them are no pieces that the library parts itself
+    line = r"[A-Za-z]+[.,;:!?]?"
+    assert seen and not any(re.fullmatch(rf"{line}(\n{line})*", x) for x in seen)
+    again = len(seen)
+    assert [x.tolist() for x in coder.encode(texts[::-1])] == _plain_ids(texts[::-1])
+    assert len(seen) == again
+
+
+@pytest.mark.parametrize("remembered", [1, 60])
+def test_forgotten_pieces_are_learnt_again(monkeypatch, remembered):
+    monkeypatch.setattr(wavelet, "REMEMBERED", remembered)
+    coder, texts = wavelet.LibraryEncoder(wavelet.VOCABULARY), _odd_texts()[:400]
+    for start in [*range(0, len(texts), 20), 0, 20]:
+        part = texts[start : start + 20]
+        assert [x.tolist() for x in coder.encode(part)] == _plain_ids(part)
+    assert len(coder.known.low) < 2 * remembered + 400
+
+
+def test_pieces_of_equal_hash_are_not_mixed_up(monkeypatch):
+    own = wavelet.hash_pieces
+    monkeypatch.setattr(wavelet, "hash_pieces", lambda *a: own(*a) if a[-1] else own(*a) % np.uint64(64) << np.uint64(1))
+    coder, texts = wavelet.LibraryEncoder(wavelet.VOCABULARY), _odd_texts()[:300]
+    for start in range(0, len(texts), 5):
+        part = texts[start : start + 5]
+        assert [x.tolist() for x in coder.encode(part)] == _plain_ids(part)
+
+
 def _expected(pairs):
     coder = Tokenizer.from_file(wavelet.VOCABULARY)
     start, out = 0, []
