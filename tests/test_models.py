@@ -75,6 +75,46 @@ def test_cells_grow_with_the_points_and_so_do_not_their_sizes(spark):
     assert max(sizes) <= 150 and visits[1] < 2.5 * visits[0]
 
 
+def wide_clusters():
+    """Vectors that no plane cuts: three clusters, two of them linked by a chain, points around them, copies and noise."""
+    rng = np.random.default_rng(11)
+    centres = np.linalg.qr(rng.normal(size=(32, 3)))[0].T
+    blobs = [c + rng.normal(0, 0.1, (n, 32)) for c, n in zip(centres, (220, 150, 90))]
+    steps = np.linspace(0, 1, 40)[:, None]
+    chain = (1 - steps) * centres[0] + steps * centres[1] + rng.normal(0, 0.06, (40, 32))
+    around = rng.normal(0, 0.13, (60, 32)) + centres[rng.integers(0, 3, 60)]
+    x = np.vstack([*blobs, chain, around, np.repeat(rng.normal(0, 0.3, (2, 32)), [7, 3], axis=0), rng.normal(0, 0.25, (30, 32))])
+    return x[rng.permutation(len(x))]
+
+
+@pytest.mark.parametrize("first, size", [(40, 25), (100, 64), (8000, 2000)])
+def test_a_cell_that_no_plane_cuts(spark, first, size, monkeypatch):
+    monkeypatch.setattr(dbscan, "FIRST", first)
+    monkeypatch.setattr(dbscan, "BLOCK", size)
+    x = wide_clusters()
+    truth = plain_dbscan(x, 0.68, 6)
+    kinds = {c: int((truth == c).sum()) for c in set(truth.tolist())}
+    assert len(kinds) >= 3 and 20 <= kinds[-1] <= 200
+    found = dbscan.dbscan(frame(spark, x), 0.68, 6, block=20)
+    got = {r["id"]: r["cluster"] for r in found.select("id", "cluster").collect()}
+    assert [got[i] for i in range(len(x))] == truth.tolist()
+
+
+def test_points_of_such_a_cell_are_not_copied(spark, monkeypatch):
+    made, block_pairs = [], dbscan._block_pairs
+
+    def counted(visits, block):
+        pairs = block_pairs(visits, block)
+        made.append((pairs.count(), visits.count()))
+        return pairs
+
+    monkeypatch.setattr(dbscan, "_block_pairs", counted)
+    x = wide_clusters()
+    points = frame(spark, x)
+    assert dbscan.dbscan(points, 0.68, 6, block=20).count() == len(x)
+    assert len(made) == 2 and all(pairs <= 4 * visits for pairs, visits in made)
+
+
 def test_no_points(spark):
     assert dbscan.dbscan(frame(spark, np.zeros((1, 2))).limit(0), 1.0, 2).count() == 0
 
