@@ -115,6 +115,19 @@ def test_points_of_such_a_cell_are_not_copied(spark, monkeypatch):
     assert len(made) == 2 and all(pairs <= 4 * visits for pairs, visits in made)
 
 
+def test_nothing_crosses_a_gap_wider_than_eps(spark):
+    """Two directions of two values each: four cells without a visitor, and one row that the sample may miss."""
+    rng = np.random.default_rng(12)
+    x = np.hstack([rng.normal(0, 0.4, (600, 3)), 2.1 * rng.integers(0, 2, (600, 2))])
+    points = frame(spark, x).selectExpr("id AS pid", "features AS x", "1L AS weight")
+    cells = dbscan._cells(points, 2.0, 200)
+    assert cells.count() == 600 and cells.select("cell").distinct().count() == 4
+    x[17, 3] = 1.0
+    found = dbscan.dbscan(frame(spark, x), 0.45, 6, block=60)
+    got = {r["id"]: r["cluster"] for r in found.select("id", "cluster").collect()}
+    assert [got[i] for i in range(len(x))] == plain_dbscan(x, 0.45, 6).tolist()
+
+
 def test_no_points(spark):
     assert dbscan.dbscan(frame(spark, np.zeros((1, 2))).limit(0), 1.0, 2).count() == 0
 
