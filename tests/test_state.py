@@ -5,6 +5,7 @@ import random
 
 import pytest
 
+from checks import streams
 from logvane.operators.keyed_time import (
     KEYED_FEATURES,
     keyed_features,
@@ -194,3 +195,17 @@ def test_late_rows_of_more_batches_than_recent_progress_keeps(spark, tmp_path):
     finally:
         spark.streams.removeListener(late)
         spark.conf.unset(kept)
+
+
+def test_the_files_of_a_stream_come_from_rows_computed_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def note(k):
+        seen.add(1)
+        return k
+
+    noted = F.udf(note, "long").asNondeterministic()
+    rows = spark.range(400).select(noted("id").alias("line_id"), F.timestamp_seconds(F.col("id") * 60).alias("timestamp"))
+    path, _ = streams.in_files(rows, "timestamp")
+    assert seen.value == 400
+    assert sorted(r[0] for r in spark.read.parquet(path).select("line_id").collect()) == list(range(400))
